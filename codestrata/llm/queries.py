@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.llm import credentials, format_duplicates, generated, source_syntax, tokenization
+from codestrata.llm import credentials, format_duplicates, generated, languages, mixing, scans, source_syntax, tokenization
 from codestrata.session import load
 
 
@@ -32,6 +32,18 @@ def p5_not_handwritten(spark, sf):
     return generated.not_handwritten(load(spark, sf, "file_records"))
 
 
+def _scans(spark, sf):
+    return scans.repaired_chunks(load(spark, sf, "kg_chunks"), load(spark, sf, "kg_docs"))
+
+
+def p6_found(spark, sf):
+    return _scans(spark, sf).select("id", F.explode("noise").alias("noise"))
+
+
+def p6_repaired(spark, sf):
+    return _scans(spark, sf)
+
+
 def _credentials(spark, sf):
     return credentials.verified(load(spark, sf, "file_records"), load(spark, sf, "fn_defs"))
 
@@ -56,7 +68,27 @@ def p8_round_trip(spark, sf):
     return d.join(back, "doc_id").where(F.col("text") != F.col("back")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_parse_rates, p3_found, p3_unique_entities, p5_found, p5_not_handwritten, p7_found, p7_redacted, p8_ids, p8_round_trip)}
+def p9_mix(spark, sf):
+    return mixing.mixed_documents(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark, sf):
+    return mixing.reached_shares(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))
+
+
+def _languages(spark, sf):
+    return languages.document_languages(load(spark, sf, "documents"), load(spark, sf, "lang_codes"))
+
+
+def p10_found(spark, sf):
+    return languages.language_findings(_languages(spark, sf))
+
+
+def p10_languages(spark, sf):
+    return _languages(spark, sf)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_parse_rates, p3_found, p3_unique_entities, p5_found, p5_not_handwritten, p6_found, p6_repaired, p7_found, p7_redacted, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_languages)}
 
 _P3 = r"""
 WITH n AS (SELECT id, coalesce('v' || lower(regexp_replace(name, '[^\p{L}\p{N}]+', '', 'g')), 'n') a, coalesce('v' || lower(regexp_replace(type, '[^\p{L}\p{N}]+', '', 'g')), 'n') b, mentions,
