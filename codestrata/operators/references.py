@@ -34,37 +34,37 @@ def orphan_references(refs: DataFrame, intervals: DataFrame, total: int) -> Data
     MAX_HEAVY of them, by counting) and are checked by broadcast; the remaining keys are checked by a shuffled join; keys with
     many intervals, whichever they are, by a sweep over (key, day) pieces. The three results are united.
     """
+    spark = refs.sparkSession
     far = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+    keys = ["target", "key"]
     refs = refs.withColumn("t", F.coalesce("t", far))
-    per_period = refs.groupBy("target", "key", F.trunc("t", "month").alias("period")).agg(F.count("*").alias("n"))
+    per_period = refs.groupBy(*keys, F.trunc("t", "month").alias("period")).agg(F.count("*").alias("n"))
     heavy_min = max(1000, -(-total // MAX_HEAVY) + 1)
-    heavy = per_period.groupBy("target", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_min).select("target", "key")
-    sizes = intervals.groupBy("target", "key").agg(F.count("*").alias("n_iv"), F.min("start").alias("first_start"))
-    wide_keys = sizes.where(F.col("n_iv") > MAX_INTERVALS).select("target", "key", "first_start")
-    narrow = (
-        intervals.join(wide_keys.select("target", "key"), ["target", "key"], "left_anti")
-        .groupBy("target", "key").agg(F.min("start").alias("first_start"), F.collect_list(F.struct("start", "end")).alias("iv"))
-    )
+    found = per_period.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_min).select(*keys).collect()
+    heavy = F.broadcast(spark.createDataFrame(found, "target string, key string")) if found else None
+    many = intervals.groupBy(*keys).agg(F.count("*").alias("n_iv")).where(F.col("n_iv") > MAX_INTERVALS).select(*keys)
+    wide = many if many.limit(1).count() else None
+
+    narrow = intervals.join(wide, keys, "left_anti") if wide is not None else intervals
+    narrow = narrow.groupBy(*keys).agg(F.min("start").alias("first_start"), F.collect_list(F.struct("start", "end")).alias("iv"))
     present = F.exists("iv", lambda i: (i["start"] <= F.col("t")) & (i["end"].isNull() | (i["end"] > F.col("t"))))
     state = F.when(F.col("first_start").isNull(), "missing").when(F.col("first_start") > F.col("t"), "later").otherwise("deleted")
     out = ["id", "ref", "target", "t"]
     judged = lambda d: d.where(F.coalesce(~present, F.lit(True))).select(*out, state.alias("state"))
 
-    flagged = refs.join(F.broadcast(heavy.withColumn("is_heavy", F.lit(True))), ["target", "key"], "left")
-    light = flagged.where("is_heavy is null").drop("is_heavy")
-    hot = flagged.where("is_heavy").drop("is_heavy")
-    hot_iv = narrow.join(F.broadcast(heavy), ["target", "key"], "left_semi")
-    wide_flag = wide_keys.select("target", "key", F.lit(True).alias("wide"))
-    hot_wide = wide_flag.join(F.broadcast(heavy), ["target", "key"], "left_semi")
-    a = judged(hot.join(F.broadcast(hot_wide), ["target", "key"], "left_anti").join(F.broadcast(hot_iv), ["target", "key"], "left"))
-    b = judged(light.join(wide_flag, ["target", "key"], "left_anti").join(narrow, ["target", "key"], "left"))
-    swept = sweep_presence(
-        hot.join(F.broadcast(hot_wide), ["target", "key"], "left_semi").unionByName(light.join(wide_flag, ["target", "key"], "left_semi")),
-        intervals.join(wide_keys.select("target", "key"), ["target", "key"], "left_semi"),
-    )
-    later = F.when(F.col("seen") > 0, "deleted").otherwise("later")
-    c = swept.where("there <= 0").select(*out, later.alias("state"))
-    return a.unionByName(b).unionByName(c).withColumn("t", F.when(F.col("t") < far, F.col("t")))
+    light = refs.join(heavy, keys, "left_anti") if heavy is not None else refs
+    if wide is not None:
+        light = light.join(wide, keys, "left_anti")
+    result = judged(light.join(narrow, keys, "left"))
+    if heavy is not None:
+        hot = refs.join(heavy, keys, "left_semi")
+        if wide is not None:
+            hot = hot.join(F.broadcast(wide.join(heavy, keys, "left_semi")), keys, "left_anti")
+        result = result.unionByName(judged(hot.join(F.broadcast(narrow.join(heavy, keys, "left_semi")), keys, "left")))
+    if wide is not None:
+        swept = sweep_presence(refs.join(wide, keys, "left_semi"), intervals.join(wide, keys, "left_semi"))
+        result = result.unionByName(swept.where("there <= 0").select(*out, F.when(F.col("seen") > 0, "deleted").otherwise("later").alias("state")))
+    return result.withColumn("t", F.when(F.col("t") < far, F.col("t")))
 
 
 def sweep_presence(refs: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -104,8 +104,9 @@ def relation_orphans(relations: DataFrame, entities: DataFrame, docs: DataFrame)
     one = lambda ref, target: F.struct(F.lit(ref).alias("ref"), F.lit(target).alias("target"), canonical_key(F.col(ref)).alias("key"))
     r = relations.select("id", "src_id", "dst_id", "doc_id", ntz("loaded_at").alias("t"))
     r = r.select("id", "t", F.explode(F.array(one("src_id", "kg_entities"), one("dst_id", "kg_entities"), one("doc_id", "kg_docs"))).alias("r"))
-    r = r.select("id", "t", "r.ref", "r.target", "r.key").where("key is not null").dropDuplicates(["id", "ref", "key", "t"])
-    return orphan_references(r, iv, 3 * relations.count())
+    r = r.select("id", "t", "r.ref", "r.target", "r.key").where("key is not null")
+    # Repeated relations are dropped among the few orphans, not among all references.
+    return orphan_references(r, iv, 3 * relations.count()).dropDuplicates()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:
