@@ -244,7 +244,9 @@ def document_languages(documents: DataFrame, lang_codes: DataFrame) -> DataFrame
 
 def language_findings(judged: DataFrame) -> DataFrame:
     """(doc_id, para, lang): para -1 for a missing or wrong label, and each prose paragraph in another language than its document."""
-    d = judged.where("lang is not null").dropDuplicates(["doc_id"])
-    wrong = d.where(F.coalesce(F.col("label") != F.col("lang"), F.lit(True))).select("doc_id", F.lit(-1).alias("para"), "lang")
-    p = d.select("doc_id", F.col("lang").alias("doc_lang"), F.explode("paragraphs").alias("p"))
-    return wrong.unionByName(p.where("p.lang is not null and p.lang <> doc_lang").select("doc_id", "p.para", "p.lang"))
+    item = lambda para, lang: F.struct(para.cast("int").alias("para"), lang.alias("lang"))
+    wrong = F.coalesce(F.col("label") != F.col("lang"), F.lit(True))
+    own = F.when(wrong, F.array(item(F.lit(-1), F.col("lang")))).otherwise(F.array().cast("array<struct<para:int,lang:string>>"))
+    other = F.transform(F.filter("paragraphs", lambda p: p["lang"].isNotNull() & (p["lang"] != F.col("lang"))), lambda p: item(p["para"], p["lang"]))
+    f = judged.where("lang is not null").select("doc_id", F.explode(F.concat(own, other)).alias("f"))
+    return f.select("doc_id", "f.para", "f.lang").dropDuplicates()
