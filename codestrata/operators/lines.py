@@ -93,10 +93,9 @@ def loop_findings(files: DataFrame, keys: list[str]) -> DataFrame:
     braces = lambda x: F.length(F.regexp_replace(x, r"[^{]", "")) - F.length(F.regexp_replace(x, r"[^}]", ""))
 
     def step(s, x):
-        d = s["d"] + F.when(is_loop(x), 1).otherwise(0)
-        inside = (d > 0) | is_loop(x)
-        d2 = F.when(inside, F.greatest(d + braces(x), F.lit(0))).otherwise(F.lit(0))
-        return F.struct(d2.alias("d"), F.concat(s["f"], F.array(inside & (d2 > 0))).alias("f"))
+        inside = (s["d"] > 0) | is_loop(x)
+        d = F.when(inside, F.greatest(s["d"] + braces(x), F.lit(0))).otherwise(F.lit(0))
+        return F.struct(d.alias("d"), F.concat(s["f"], F.array(inside)).alias("f"))
 
     flags = F.aggregate(lines, F.struct(F.lit(0).alias("d"), F.array().cast("array<boolean>").alias("f")), step)["f"]
     x = files.where("content is not null").select(*keys, F.posexplode(F.arrays_zip(lines.alias("line"), flags.alias("loop"))).alias("p", "z"))

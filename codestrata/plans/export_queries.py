@@ -99,13 +99,13 @@ def deps_dev(spark, sf):
 
 
 # -- sources on literal inputs
-@R.add("coverage", "SELECT * FROM (VALUES ('a.ts', 2, 1, 50.0), ('b.ts', 1, 1, 100.0)) t(path, n_lines, n_hit, pct)")
+@R.add("coverage", "SELECT * FROM (VALUES ('a.ts', 2, 1, 50.0::DOUBLE), ('b.ts', 1, 1, 100.0::DOUBLE)) t(path, n_lines, n_hit, pct)")
 def coverage(spark, sf):
     rows = list(enumerate(["SF:a.ts", "DA:1,3", "DA:2,0", "end_of_record", "SF:b.ts", "DA:1,1", "end_of_record"]))
     return readers.lcov(spark.createDataFrame(rows, "line_no int, line string"))
 
 
-@R.add("bundle", "SELECT * FROM (VALUES ('./src/a.js', 300, 75.0), ('./src/b.js', 100, 25.0)) t(\"name\", size, share)")
+@R.add("bundle", "SELECT * FROM (VALUES ('./src/a.js', 300, 75.0::DOUBLE), ('./src/b.js', 100, 25.0::DOUBLE)) t(\"name\", size, share)")
 def bundle(spark, sf):
     return readers.bundle_modules(spark.createDataFrame([('{"modules":[{"name":"./src/a.js","size":300},{"name":"./src/b.js","size":100}]}',)], "content string"))
 

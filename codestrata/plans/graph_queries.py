@@ -133,7 +133,7 @@ def community_modularity(spark, sf):
     return graph.modularity(sparse(spark, sf), gfiles(spark, sf).select("path", F.col("layer").alias("community")))
 
 
-@R.add("connected_components", "WITH r(a, b) AS (SELECT source, source FROM sparse UNION SELECT a, target FROM r JOIN (SELECT source, target FROM sparse UNION SELECT target, source FROM sparse) ON b = source) SELECT b node, min(a) component FROM (SELECT a, b FROM r UNION SELECT b, a FROM r) GROUP BY 1")
+@R.add("connected_components", "WITH r(a, b) AS (SELECT x, x FROM (SELECT source x FROM sparse UNION SELECT target FROM sparse) UNION SELECT a, target FROM r JOIN (SELECT source, target FROM sparse UNION SELECT target, source FROM sparse) ON b = source) SELECT b node, min(a) component FROM r GROUP BY 1")
 def connected_components(spark, sf):
     from codestrata.operators.components import connected_components as cc
 

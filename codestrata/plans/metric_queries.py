@@ -166,7 +166,7 @@ def contributors(spark, sf):
     return files(spark, sf).groupBy(F.coalesce("top_contributor", F.lit("unknown")).alias("owner")).agg(F.count("*").alias("n_files"), F.sum("churn").alias("churn"), F.sum("coupling_out").alias("impact"), F.count_if((F.col("contributor_count") == 1) & (F.col("churn") >= 5)).alias("bus_factor_files"))
 
 
-@R.add("confidence", "SELECT source, target, fn, \"count\", CASE WHEN EXISTS (SELECT 1 FROM sparse s WHERE s.source = e.source AND s.target = e.target) THEN 1.0 WHEN \"count\" >= 3 THEN 0.6 ELSE 0.4 END confidence FROM edges e")
+@R.add("confidence", "SELECT source, target, fn, \"count\", CASE WHEN EXISTS (SELECT 1 FROM sparse s WHERE s.source = e.source AND s.target = e.target) THEN CAST(1 AS DOUBLE) WHEN \"count\" >= 3 THEN 0.6 ELSE 0.4 END confidence FROM edges e")
 def confidence(spark, sf):
     return M.confidence(gfiles(spark, sf), edges(spark, sf), sparse(spark, sf))
 

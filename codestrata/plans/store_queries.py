@@ -151,15 +151,15 @@ def setup(spark, sf):
 
 
 # -- traces and time
-@R.add("runtime_calls", "WITH c AS (SELECT caller, callee, count(*) n, sum(ms) ms FROM traces GROUP BY 1, 2) SELECT caller, callee, n, round(ms / n, 2) avg_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY n DESC, caller) rank FROM c) WHERE rank = 1")
+@R.add("runtime_calls", "WITH c AS (SELECT caller, callee, count(*) n, CAST(sum(CAST(ms AS DECIMAL(18, 6))) AS DOUBLE) ms FROM traces GROUP BY 1, 2) SELECT caller, callee, n, round(ms / n, 2) avg_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY n DESC, caller) rank FROM c) WHERE rank = 1")
 def runtime_calls(spark, sf):
     """For each callee the caller with most calls."""
-    c = traces(spark, sf).groupBy("caller", "callee").agg(F.count("*").alias("n"), F.sum("ms").alias("ms"))
+    c = traces(spark, sf).groupBy("caller", "callee").agg(F.count("*").alias("n"), F.sum(F.col("ms").cast("decimal(18,6)")).cast("double").alias("ms"))
     w = W.partitionBy("callee").orderBy(F.desc("n"), "caller")
     return c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank = 1").select("caller", "callee", "n", F.round(F.col("ms") / F.col("n"), 2).alias("avg_ms"), "rank")
 
 
-@R.add("trace_accumulator", "SELECT caller, callee, count(*) n, round(sum(ms), 4) total_ms, min(ms) min_ms, max(ms) max_ms, count(*) FILTER (callee = 'error') n_errors FROM traces GROUP BY 1, 2 HAVING count(*) >= 5")
+@R.add("trace_accumulator", "SELECT caller, callee, count(*) n, round(CAST(sum(CAST(ms AS DECIMAL(18, 6))) AS DOUBLE), 4) total_ms, min(ms) min_ms, max(ms) max_ms, count(*) FILTER (callee = 'error') n_errors FROM traces GROUP BY 1, 2 HAVING count(*) >= 5")
 def trace_accumulator(spark, sf):
     from codestrata.streaming.traces import accumulate
 
@@ -171,9 +171,9 @@ def service_graph(spark, sf):
     return traces(spark, sf).groupBy(F.col("caller").alias("service"), F.col("callee").alias("to")).agg(F.count("*").alias("weight"))
 
 
-@R.add("hot_files", "SELECT callee, count(*) n, round(avg(ms), 4) avg_ms FROM traces GROUP BY 1")
+@R.add("hot_files", "SELECT callee, count(*) n, round(CAST(sum(CAST(ms AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 4) avg_ms FROM traces GROUP BY 1")
 def hot_files(spark, sf):
-    return traces(spark, sf).groupBy("callee").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 4).alias("avg_ms"))
+    return traces(spark, sf).groupBy("callee").agg(F.count("*").alias("n"), F.round(F.sum(F.col("ms").cast("decimal(18,6)")).cast("double") / F.count("*"), 4).alias("avg_ms"))
 
 
 @R.add("commits", "SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') n_7d, count(*) FILTER (ts >= TIMESTAMP '2024-01-01') n_30d FROM events GROUP BY 1")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 def accumulate(calls: DataFrame, min_count: int = 1) -> DataFrame:
     """(caller, callee, n, total_ms, min_ms, max_ms, n_errors): works on a table and on a stream (update or complete mode)."""
-    a = calls.groupBy("caller", "callee").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 4).alias("total_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.count_if(F.col("callee") == "error").alias("n_errors"))
+    a = calls.groupBy("caller", "callee").agg(F.count("*").alias("n"), F.round(F.sum(F.col("ms").cast("decimal(18,6)")).cast("double"), 4).alias("total_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.count_if(F.col("callee") == "error").alias("n_errors"))
     return a.where(F.col("n") >= min_count)
 
 
