@@ -65,7 +65,7 @@ def edge_lines(text: str) -> list[tuple[int, int, str, bool]]:
 
 # -- the averaged perceptron
 class Perceptron:
-    """Linear scores over named features, averaged over all updates."""
+    """Linear scores over named features, averaged over all examples."""
 
     def __init__(self, weights: dict | None = None):
         self.w = dict(weights or {})
@@ -77,8 +77,11 @@ class Perceptron:
         get = self.w.get
         return sum(get(f, 0.0) for f in feats)
 
-    def update(self, good, bad) -> None:
+    def step(self) -> None:
+        """One more example; the average runs over examples, whether they changed anything or not."""
         self._n += 1
+
+    def update(self, good, bad) -> None:
         for fs, d in ((good, 1.0), (bad, -1.0)):
             for f in fs:
                 self._sum[f] += (self._n - self._at[f]) * self.w.get(f, 0.0)
@@ -294,6 +297,7 @@ def train(texts: list[str], lexicon: dict, seed: int = 11) -> tuple[dict, dict,
             right = [f for f, r in cands if r == gold]
             if not right:
                 continue
+            words.step()
             wrong = [f for f, r in cands if r != gold]
             if wrong:
                 good, bad_one = max(right, key=words.score), max(wrong, key=words.score)
@@ -310,17 +314,18 @@ def train(texts: list[str], lexicon: dict, seed: int = 11) -> tuple[dict, dict,
                 if (left + right).lower() in lexicon:
                     continue
             mark = rng.choice(_HYPHENS[:4]) if gold else "-"
+            joins.step()
             a, b = _join_features(left, mark, right, lexicon)
             if (joins.score(a) > joins.score(b)) != gold:
                 joins.update(*((a, b) if gold else (b, a)))
         for t in rng.sample(texts, min(600, len(texts))):
             page = [x for x in _lines(t) if x.strip()][:40]
-            if len(page) < 2:
-                continue
             flat = " ".join(x.strip() for x in page)
             width = rng.randint(40, 80)
             wrapped = re.findall(rf".{{1,{width}}}(?:\s+|$)", flat) or page
-            body = [x.strip() for x in (wrapped if rng.random() < 0.7 else page)]
+            body = [x.strip() for x in (wrapped if rng.random() < 0.7 or len(page) < 2 else page)]
+            if len(body) < 2:
+                continue
             title = " ".join(rng.choice(common or ["page"]).capitalize() for _ in range(rng.randint(2, 4)))
             title = rng.choice([title, title.upper(), f"{title} | Part {rng.randint(1, 9)} | {rng.choice(common or ['page']).capitalize()}", f"{title}    Rev. {rng.randint(1, 9)}", f"{title} - {rng.randint(1, 99)}"])
             n = rng.randint(1, 30)
@@ -329,6 +334,7 @@ def train(texts: list[str], lexicon: dict, seed: int = 11) -> tuple[dict, dict,
             cases = [(title, rng.randint(0, 1), rng.random() < 0.5, True, "header"), (number, rng.randint(0, 1), rng.random() < 0.5, False, "page_number")]
             cases += [(body[0], 0, True, rng.random() < 0.5, "body"), (body[-1], 0, False, rng.random() < 0.5, "body"), (body[len(body) // 2], 2, True, rng.random() < 0.3, "body"), ("# " + title, 0, True, True, "body"), (f"| {title} | {n} |", 0, False, True, "body"), (title, 0, True, False, "body")]
             for line, place, top, rep, gold in cases:
+                lines.step()
                 f = _line_features(line, place, top, rep, w)
                 got = max(sorted(f), key=lambda c: lines.score(f[c]))
                 if got != gold:

@@ -806,6 +806,8 @@ class Js(Parser):
                 node = self.expression()
                 self.no_in = old
                 self.need(")")
+                if node == "cover":
+                    self.fail("unexpected '='")
                 return node if node in ("id", "member") else "value"
             if t.t == "[":
                 return self.array()
