@@ -72,14 +72,15 @@ def reachability(spark, sf):
 
 
 @R.add("anomaly", f"""WITH g(node, depth) AS (SELECT '{_END}', 0 UNION SELECT source, depth + 1 FROM g JOIN sparse ON node = target WHERE depth < 25), f(node, depth) AS (SELECT '{_END}', 0 UNION SELECT target, depth + 1 FROM f JOIN sparse ON node = source WHERE depth < 25)
-  SELECT node, min(up) upstream, min(down) downstream FROM (SELECT node, depth up, NULL down FROM g UNION ALL SELECT node, NULL, depth FROM f) WHERE node <> '{_END}' GROUP BY 1""")
+  SELECT node, coalesce(min(up), -1) upstream, coalesce(min(down), -1) downstream FROM (SELECT node, depth up, NULL down FROM g UNION ALL SELECT node, NULL, depth FROM f) WHERE node <> '{_END}' GROUP BY 1""")
 def anomaly(spark, sf):
-    """Everything upstream and downstream of a suspect, with distances."""
+    """Everything upstream and downstream of a suspect, with distances; -1 where there is no way."""
     e = sparse(spark, sf).select("source", "target")
     seed = spark.createDataFrame([(_END,)], "node string")
     up = graph.reach(e.select(F.col("target").alias("source"), F.col("source").alias("target")), seed, 25).select("node", F.col("depth").alias("upstream"))
     down = graph.reach(e, seed, 25).select("node", F.col("depth").alias("downstream"))
-    return up.join(down, "node", "full_outer").where(F.col("node") != _END)
+    far = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return up.join(down, "node", "full_outer").where(F.col("node") != _END).select("node", far("upstream"), far("downstream"))
 
 
 @R.add("safety_trace", f"""WITH p(node, path, d) AS (SELECT '{_START}', ['{_START}'], 0 UNION ALL SELECT target, list_append(path, target), d + 1 FROM p JOIN sparse ON node = source WHERE d < 6 AND NOT list_contains(path, target) AND target <> '{_GATE}')
