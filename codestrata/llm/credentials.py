@@ -183,8 +183,6 @@ def rule_trigrams(spark: SparkSession) -> DataFrame:
 
 def trigram_index(texts: DataFrame, wanted: frozenset) -> DataFrame:
     """Postings (trigram, source_table, row_id, chunk) of all chunks of all texts, for the trigrams that rules can ask for."""
-    lead = {w[:2] for w in wanted}
-
     def one(r: dict) -> list[tuple]:
         t, out = r["text"].lower(), []
         for k, at in enumerate(range(0, max(len(t), 1), CHUNK)):
@@ -192,8 +190,7 @@ def trigram_index(texts: DataFrame, wanted: frozenset) -> DataFrame:
             out.extend((g, r["source_table"], r["row_id"], k) for g in {c[i : i + 3] for i in range(len(c) - 2)} & wanted)
         return out
 
-    assert lead
-    return map_rows(texts.select("source_table", "row_id", "text"), "trigram string, source_table string, row_id long, chunk int", one)
+    return map_rows(texts.select("source_table", "row_id", "text"), "trigram string, source_table string, row_id long, chunk int", one, spread=True)
 
 
 def candidates(texts: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def document_languages(documents: DataFrame, lang_codes: DataFrame) -> DataFrame
         return [(r["doc_id"], lang, conf, r["label"], [{"para": k, "lang": x, "confidence": c} for k, x, c in parts])]
 
     d = documents.select("doc_id", "text", label_code(F.col("lang"), codes).alias("label"))
-    return map_rows(d, "doc_id long, lang string, confidence double, label string, paragraphs array<struct<para:int,lang:string,confidence:double>>", one)
+    return map_rows(d, "doc_id long, lang string, confidence double, label string, paragraphs array<struct<para:int,lang:string,confidence:double>>", one, spread=True)
 
 
 def language_findings(judged: DataFrame) -> DataFrame:

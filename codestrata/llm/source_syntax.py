@@ -30,7 +30,7 @@ def parse_files(files: DataFrame, ext_languages: DataFrame) -> DataFrame:
         return [(r["repo_id"], r["path"], r["path_language"], len(e), e[0][0] if e else None, e[0][1] if e else None, [{"line": a, "what": b} for a, b in e])]
 
     todo = with_path_language(files.select("repo_id", "path", "content").where("content is not null"), ext_languages)
-    return map_rows(todo.where(F.col("path_language").isin(*LANGUAGES)).select("repo_id", "path", "content", "path_language"), _OUT, one)
+    return map_rows(todo.where(F.col("path_language").isin(*LANGUAGES)).select("repo_id", "path", "content", "path_language"), _OUT, one, spread=True)
 
 
 def invalid_files(files: DataFrame, ext_languages: DataFrame) -> DataFrame:
