@@ -20,18 +20,22 @@ _PREFIXED = (
     r"[a-z]{2,8}_(?:live|test|prod)_[A-Za-z0-9]{14,}|qz-[A-Za-z0-9]{6,12}-[A-Za-z0-9]{6,}|eyJ[\w-]{10,}\.eyJ[\w-]{6,}\.[\w-]{10,}|hvs\.[\w-]{20,})"
 )
 _NAME = r"(?:password|passwd|passphrase|phrase|pwd|pass|secret|token|api[_-]?key|auth|cred|credential|credentials|bearer|(?:signing|deploy|cookie|hmac|tls|access|private|secret|encryption|session|ssh|service|master|storage|account|license)[_-]?key)"
-_SHORT = r"(?:pw[ =:\"']|k[0-9][ =:\"']|key[ =:\"'])"
+_SHORT = ("pw", "k[0-9]", "key")
 _OPENS = r"[\"']?\s*(?::\s*[\w<>\[\]]+\s*(?==))?(?::=|=>|=|:)\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,400})(?P=q)"
 
+_VALUE = r"\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,400})(?P=q)"
+# Short names are spelled out with the sign after them, so that three signs in a row are always required.
+_SHORT_OPENS = "(?:" + "|".join(rf"{n}=|{n}:(?:=|\s*[\w<>\[\]]+\s*=)?|{n}[ \"']\s*(?::\s*[\w<>\[\]]+\s*(?==))?(?::=|=>|=|:)" for n in _SHORT) + ")"
+
 #: Rule: (name, expression with the credential as group v, strength its value must have, only in configuration files).
 RULES: list[tuple[str, str, str, bool]] = [
     ("key_block", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", "any", False),
     ("prefixed", rf"(?<![A-Za-z0-9+/=_-])(?P<v>{_PREFIXED})(?![A-Za-z0-9+/_-])", "any", False),
     ("vault_token", r"[\"'`= ]s\.(?P<v>[A-Za-z0-9]{24})(?![A-Za-z0-9(.])", "mixed", False),
     ("named", rf"(?<![A-Za-z0-9])[\w.-]{{0,40}}?{_NAME}{_OPENS}", "named", False),
-    ("short_named", rf"(?<![A-Za-z0-9_.-]){_SHORT[:-1]}){_OPENS.replace(r'[\"' + chr(39) + r']?', '', 1)}", "short", False),
+    ("short_named", rf"(?<![A-Za-z0-9_.-]){_SHORT_OPENS}{_VALUE}", "short", False),
     ("config", rf"^[ \t]*(?:export[ \t]+|- )?[\"']?[\w.-]{{0,40}}?{_NAME}[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,]{{6,}})[ \t\r]*$", "named", True),
-    ("config_short", rf"^[ \t]*(?:export[ \t]+|- )?{_SHORT}[ \t:=]*(?P<v>[^\s\"'`#;,:=][^\s\"'`#;,]{{5,}})[ \t\r]*$", "short", True),
+    ("config_short", r"^[ \t]*(?:export[ \t]+|- )?(?:pw[ =:]|k[0-9][ =:]|key[ =:])[ \t:=]*(?P<v>[^\s\"'`#;,:=][^\s\"'`#;,]{5,})[ \t\r]*$", "short", True),
     ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,80}:(?P<v>[^\s/@\"'<>]{3,200})@[\w.\[-]", "weak", False),
     ("authorization", r"(?:authorization|auth)[\"']?\s*[:=]\s*[\"']?(?:bearer|token|apikey)\s+(?P<v>[A-Za-z0-9._~+/=-]{12,})", "mixed", False),
     ("bearer", r"bearer +(?P<v>[A-Za-z0-9._~+/=-]{16,})", "mixed", False),
@@ -82,7 +86,7 @@ def _strong(v: str, how: str) -> bool:
         return dig and (low or up)
     inside = any(not c.isalnum() for c in v[1:-1])
     mixed = low and up and inside and len(v) >= 8
-    if v.startswith(("http://", "https://", "/", "./", "../")) or re.match(r"[a-z][a-z0-9+.-]*://", v):
+    if v.startswith(("./", "../")) or re.match(r"[a-z][a-z0-9+.-]*://", v) or re.match(r"/[a-z0-9_.-]+(?:/[a-z0-9_.-]+)*/?$", v):
         return False
     if how == "named":
         return bool((dig and (low or up)) or mixed or (dig and len(v) >= 12))
