@@ -99,7 +99,7 @@ def relation_orphans(relations: DataFrame, entities: DataFrame, docs: DataFrame)
     """
     ntz = lambda c: F.col(c).cast("timestamp_ntz")
     iv = presence_intervals(entities, "kg_entities", "id", ntz("loaded_at"), ntz("deleted_at")).unionByName(
-        presence_intervals(docs, "kg_docs", "id", F.timestamp_seconds("indexed_at").cast("timestamp_ntz"), ntz("deleted_at"))
+        presence_intervals(docs, "kg_docs", "id", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, indexed_at)"), ntz("deleted_at"))
     )
     one = lambda ref, target: F.struct(F.lit(ref).alias("ref"), F.lit(target).alias("target"), canonical_key(F.col(ref)).alias("key"))
     r = relations.select("id", "src_id", "dst_id", "doc_id", ntz("loaded_at").alias("t"))

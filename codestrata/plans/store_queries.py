@@ -208,15 +208,15 @@ def ownership(spark, sf):
 
 @R.add("tumbling_counts", "SELECT date_trunc('day', ts) start, event_type, count(*) n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf):
-    e = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    e = load(spark, sf, "events")
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 @R.add("session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) k FROM g) SELECT user_id, min(ts) start, count(*) n FROM s GROUP BY user_id, k")
 def session_windows(spark, sf):
     """Events of one user with gaps below an hour: the quiet period of a debounced watch."""
-    e = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("s")).select("user_id", F.col("s").cast("timestamp_ntz").alias("start"), "n")
+    e = load(spark, sf, "events")
+    return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("s")).select("user_id", F.col("s").alias("start"), "n")
 
 
 @R.add("transition_edges", "SELECT caller source, callee target, count(*) n FROM traces GROUP BY 1, 2")
@@ -227,7 +227,7 @@ def transition_edges(spark, sf):
 @R.add("rate_limit", "SELECT user_id, count(*) FILTER (n > 5) n_limited_windows, CAST(sum(greatest(n - 5, 0)) AS BIGINT) n_rejected FROM (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) b, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1")
 def rate_limit(spark, sf):
     """Requests beyond five per fixed window and key."""
-    e = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = load(spark, sf, "events")
     c = e.groupBy("user_id", F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return c.groupBy("user_id").agg(F.count_if(F.col("n") > 5).alias("n_limited_windows"), F.sum(F.greatest(F.col("n") - 5, F.lit(0))).cast("long").alias("n_rejected"))
 
