@@ -16,6 +16,8 @@ from codestrata.session import durable
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 16, 6, 0.8
 #: A family is generated (or vendored) if at least this share of its marked-up files says so.
 FAMILY_SHARE, FAMILY_LEAST = 0.5, 3
+#: Longs of the parity sketch that bounds what two classes share, and classes of a bucket held against the bucket in one part.
+SKETCH, BUCKET_PART = 16, 2000
 
 # Path parts and comment phrases that by public convention mark such files.
 VENDOR_DIRS = frozenset("node_modules vendor third_party thirdparty 3rdparty third-party bower_components jspm_packages site-packages dist-packages external externals extern deps godeps pods carthage vendored".split())
@@ -143,27 +145,62 @@ def file_traits(files: DataFrame) -> DataFrame:
     return map_rows(cols, "repo_id string, path string, by_path string, by_content string, class long, shingles array<int>, lines int, complexity int, bands array<long>", one, spread=True)
 
 
+def parity_sketch(short: np.ndarray) -> list[int]:
+    """Whether the number of shingles of each of the sketch's bits is odd; two sets differ in at least as many shingles as sketches in bits."""
+    odd = np.bincount(short.view(np.uint32) % np.uint32(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _similar(both, n, m):
+    return both >= SIMILAR * (n + m - both)
+
+
+def _verified(pairs: DataFrame, s: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose shingles are similar."""
+    v = pairs.join(s.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(s.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    return v.where(_similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+
+
+def _across(cls: DataFrame, fam: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of classes that share a bucket and are not yet of one family.
+
+    All such pairs are looked at, but the sketches rule out nearly all that are not similar, and never a similar one, before
+    shingles are sent; large buckets are dealt out in parts.
+    """
+    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    b = cls.join(fam, "class").select("class", "family", F.size("shingles").alias("n"), *bits, F.posexplode("bands").alias("band", "key"))
+    mixed = b.groupBy("band", "key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.ceil(F.count("*") / BUCKET_PART).cast("int").alias("parts")).where("lo <> hi").drop("lo", "hi")
+    b = b.join(mixed, ["band", "key"])
+    left = b.withColumn("part", F.pmod(F.hash("class"), "parts")).drop("parts")
+    right = b.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class").alias("other"), F.col("family").alias("other_family"), F.col("n").alias("m"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)])
+    j = left.join(right, ["band", "key", "part"]).where((F.col("class") < F.col("other")) & (F.col("family") != F.col("other_family")) & (F.col("n") >= SIMILAR * F.col("m")) & (F.col("m") >= SIMILAR * F.col("n")))
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0))
+    at_most = (F.col("n") + F.col("m") - differ) / 2
+    pairs = j.where(_similar(at_most, F.col("n"), F.col("m"))).select(F.col("class").alias("a"), F.col("other").alias("b")).dropDuplicates()
+    return _verified(pairs, cls.select("class", "shingles"))
+
+
 def families(traits: DataFrame) -> DataFrame:
-    """(class, family): files of equal shingles are one class, classes of similarity 0.8 or more one family.
+    """(class, family): files of equal shingles are one class, classes of similarity 0.8 or more that share a band bucket one family.
 
-    In each band bucket every class is held against the bucket's least class, so a bucket that holds a third of all files
-    gives as many candidates as it has classes, never their pairs; the candidates are verified on the shingles themselves.
+    In each band bucket every class is first held against the bucket's least class, which joins most of a family by as many
+    candidates as the bucket has classes. What is similar without being similar to the least is then found among the pairs of the
+    bucket that are still of different families. Both are verified on the shingles themselves.
     """
-    cls = durable(traits.where("bands is not null").select("class", "shingles", "bands").dropDuplicates(["class"]))
+    cls = traits.where("bands is not null").select("class", "shingles", "bands").dropDuplicates(["class"])
+    cls = durable(map_rows(cls, "class long, shingles array<int>, bands array<long>, sketch array<long>", lambda r: [(r["class"], r["shingles"], r["bands"], parity_sketch(np.array(r["shingles"], np.int32)))]))
     b = cls.select("class", F.posexplode("bands").alias("band", "key"))
     least = b.groupBy("band", "key").agg(F.min("class").alias("rep"), F.count("*").alias("n")).where("n > 1")
     pairs = b.join(least, ["band", "key"]).where("class <> rep").select("class", "rep").dropDuplicates()
     # Files whose numbers of shingles differ too much cannot be similar; their shingles need not be sent.
     size = cls.select("class", F.size("shingles").alias("n"))
     pairs = pairs.join(size, "class").join(size.select(F.col("class").alias("rep"), F.col("n").alias("m")), "rep")
-    pairs = pairs.where((F.col("n") >= SIMILAR * F.col("m")) & (F.col("m") >= SIMILAR * F.col("n"))).select("class", "rep")
-    s = cls.select("class", "shingles")
-    r = s.select(F.col("class").alias("rep"), F.col("shingles").alias("rep_shingles"))
-    v = pairs.join(s, "class").join(r, "rep")
-    both = F.size(F.array_intersect("shingles", "rep_shingles"))
-    links = v.where(both >= SIMILAR * (F.size("shingles") + F.size("rep_shingles") - both)).select(F.col("class").alias("a"), F.col("rep").alias("b"))
-    comp = connected_components(links, "a", "b")
-    return cls.select("class").join(comp.select(F.col("node").alias("class"), F.col("component").alias("family")), "class", "left").withColumn("family", F.coalesce("family", "class"))
+    pairs = pairs.where((F.col("n") >= SIMILAR * F.col("m")) & (F.col("m") >= SIMILAR * F.col("n"))).select(F.col("class").alias("a"), F.col("rep").alias("b"))
+    comp = connected_components(_verified(pairs, cls.select("class", "shingles")), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("family"))
+    first = durable(cls.select("class").join(comp, "class", "left").withColumn("family", F.coalesce("family", "class")))
+    links = _across(cls, first).join(first.toDF("a", "u"), "a").join(first.toDF("b", "v"), "b").select("u", "v").dropDuplicates()
+    joined = connected_components(durable(links), "u", "v").select(F.col("node").alias("family"), F.col("component").alias("whole"))
+    return first.join(joined, "family", "left").select("class", F.coalesce("whole", "family").alias("family"))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

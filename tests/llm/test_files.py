@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -39,6 +40,25 @@ def test_similarity_is_verified(spark):
     assert by["a.py"] == by["b.py"] != by["c.js"]
 
 
+def test_families_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(G, "BUCKET_PART", 7)  # buckets in parts
+    r, sets = random.Random(3), [set(range(100)), set(range(300, 400)), {*range(302, 400), 9, 10}]
+    for _ in range(12):
+        sets.append(set(r.sample(range(-5000, 5000), r.randint(20, 200))))
+        for _ in range(4):  # chains, of which only neighbours are similar
+            s = sorted(sets[-1])
+            sets.append({*s[len(s) // 12 :], *r.sample(range(-5000, 5000), len(s) // 12)})
+    bands = [[0] * 16 if k < 40 else [k % 3] * 8 + [-k] * 8 for k in range(len(sets))]
+    fam = {c: c for c in range(len(sets))}
+    for a in fam:
+        for b in range(a):
+            if any(x == y for x, y in zip(bands[a], bands[b])) and len(sets[a] & sets[b]) >= G.SIMILAR * len(sets[a] | sets[b]) and fam[a] != fam[b]:
+                lo, hi = sorted((fam[a], fam[b]))
+                fam = {c: lo if f == hi else f for c, f in fam.items()}
+    d = spark.createDataFrame([(c, sorted(s), b) for c, (s, b) in enumerate(zip(sets, bands))], "class long, shingles array<int>, bands array<long>")
+    assert fam[1] == fam[2] != fam[0] and {x["class"]: x.family for x in G.families(d).collect()} == fam
+
+
 def test_trigrams_are_required():
     for name, pattern, _, _ in C.RULES:
         alts = required_trigrams(pattern)
