@@ -44,7 +44,6 @@ class Parser:
     STARTERS: frozenset = frozenset()
     #: Binary operators by precedence.
     BINARY: dict = {}
-    MAX_DEPTH = 220
 
     def __init__(self, toks: list[Tok], end: int, errors: list):
         self.toks, self.errors, self.i, self.depth = toks, errors, 0, 0
@@ -149,9 +148,6 @@ class Parser:
 
     def nest(self) -> None:
         self.depth += 1
-        if self.depth > self.MAX_DEPTH:
-            self.errors.append((self.cur.p, "nested too deeply"))
-            raise Bail
 
     # -- expressions
     def binary(self, least: int = 1) -> str:

@@ -26,40 +26,46 @@ def _normal(text: str) -> str:
     return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _exact_python(text: str) -> list[tuple[int, str]]:
+#: Python calls that one character of a text can nest at most; no grammar here has a longer chain of rules to a bracket.
+CALLS = 64
+
+
+def _exact_python(text: str) -> list[tuple[int, str]] | None:
+    """The interpreter's verdict; None where its own stack does not suffice for one."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
     except SyntaxError as e:
         return [(e.lineno or 1, str(e.msg))]
-    except (ValueError, RecursionError, MemoryError) as e:
+    except ValueError as e:
         return [(1, type(e).__name__)]
+    except (RecursionError, MemoryError):
+        return None
     return []
 
 
 def syntax_errors(text: str, language: str) -> list[tuple[int, str]]:
     """All errors as (line, what), in order; empty for a valid text. A language without a parser is never judged.
 
-    Python texts pass an exact check by the interpreter's own grammar after the descent, which settles both ways.
+    Python texts pass an exact check by the interpreter's own grammar after the descent, which settles both ways. Depth of nesting
+    is never an error: the limit of recursion grows with the text, and calls between Python functions take no C stack.
     """
     parse = _PARSERS.get(language)
     if parse is None:
         return []
     t, errors = _normal(text), []
     old = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(old, 12_000))
+    sys.setrecursionlimit(min(max(old, 12_000 + CALLS * len(t)), 2**31 - 1))
     try:
         parse(t, errors)
     except Bail:
         pass
-    except RecursionError:
-        errors.append((0, "nested too deeply"))
     finally:
         sys.setrecursionlimit(old)
     lines = Lines(t)
     out = sorted({(lines.of(p), w) for p, w in errors})
     if language == "Python":
         exact = _exact_python(t)
-        out = (out or exact) if exact else []
+        out = out if exact is None else (out or exact) if exact else []
     return out

@@ -95,7 +95,6 @@ def lex(text: str, errors: list) -> list[Tok]:
 
 class Python(Parser):
     BINARY = _BINARY
-    MAX_DEPTH = 400
 
     def whole(self) -> None:
         while self.cur.k != EOF:
