@@ -21,9 +21,9 @@ _PREFIXED = (
 )
 _NAME = r"(?:password|passwd|passphrase|phrase|pwd|pass|secret|token|api[_-]?key|auth|cred|credential|credentials|bearer|(?:signing|deploy|cookie|hmac|tls|access|private|secret|encryption|session|ssh|service|master|storage|account|license)[_-]?key)"
 _SHORT = ("pw", "k[0-9]", "key")
-_OPENS = r"[\"']?\s*(?::\s*[\w<>\[\]]+\s*(?==))?(?::=|=>|=|:)\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,400})(?P=q)"
+_OPENS = r"[\"']?\s*(?::\s*[\w<>\[\]]+\s*(?==))?(?::=|=>|=|:)\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,})(?P=q)"
 
-_VALUE = r"\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,400})(?P=q)"
+_VALUE = r"\s*\(?\s*(?:[fbruL]{1,2}(?=[\"']))?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){6,})(?P=q)"
 # Short names are spelled out with the sign after them, so that three signs in a row are always required.
 _SHORT_OPENS = "(?:" + "|".join(rf"{n}=|{n}:(?:=|\s*[\w<>\[\]]+\s*=)?|{n}[ \"']\s*(?::\s*[\w<>\[\]]+\s*(?==))?(?::=|=>|=|:)" for n in _SHORT) + ")"
 
@@ -36,7 +36,7 @@ RULES: list[tuple[str, str, str, bool]] = [
     ("short_named", rf"(?<![A-Za-z0-9_.-]){_SHORT_OPENS}{_VALUE}", "short", False),
     ("config", rf"^[ \t]*(?:export[ \t]+|- )?[\"']?[\w.-]{{0,40}}?{_NAME}[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,]{{6,}})[ \t\r]*$", "named", True),
     ("config_short", r"^[ \t]*(?:export[ \t]+|- )?(?:pw[ =:]|k[0-9][ =:]|key[ =:])[ \t:=]*(?P<v>[^\s\"'`#;,:=][^\s\"'`#;,]{5,})[ \t\r]*$", "short", True),
-    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,80}:(?P<v>[^\s/@\"'<>]{3,200})@[\w.\[-]", "weak", False),
+    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,80}:(?P<v>[^\s/@\"'<>]{3,})@[\w.\[-]", "weak", False),
     ("authorization", r"(?:authorization|auth)[\"']?\s*[:=]\s*[\"']?(?:bearer|token|apikey)\s+(?P<v>[A-Za-z0-9._~+/=-]{12,})", "mixed", False),
     ("bearer", r"bearer +(?P<v>[A-Za-z0-9._~+/=-]{16,})", "mixed", False),
     ("basic", r"basic +(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", "basic", False),
@@ -185,10 +185,17 @@ def rule_trigrams(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "trigram string, rule string, alt int, bit long, full long")
 
 
+#: Letters that expressions without case take for i and s, though lower() does not.
+_FOLD = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s"})
+
+
 def trigram_index(texts: DataFrame, wanted: frozenset) -> DataFrame:
-    """Postings (trigram, source_table, row_id, chunk) of all chunks of all texts, for the trigrams that rules can ask for."""
+    """Postings (trigram, source_table, row_id, chunk) of all chunks of all texts, for the trigrams that rules can ask for.
+
+    Texts are indexed as they are verified, with strings that go on in the next line joined.
+    """
     def one(r: dict) -> list[tuple]:
-        t, out = r["text"].lower(), []
+        t, out = _joined(r["text"])[0].translate(_FOLD).lower(), []
         for k, at in enumerate(range(0, max(len(t), 1), CHUNK)):
             c = t[at : at + CHUNK + OVERLAP]
             out.extend((g, r["source_table"], r["row_id"], k) for g in {c[i : i + 3] for i in range(len(c) - 2)} & wanted)
@@ -198,11 +205,11 @@ def trigram_index(texts: DataFrame, wanted: frozenset) -> DataFrame:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """(source_table, row_id, rules): texts with a chunk that holds all trigrams a rule requires."""
+    """(source_table, row_id, rules): texts whose chunks together hold all trigrams a rule requires, however long the match is."""
     rules = rule_trigrams(texts.sparkSession)
     wanted = frozenset(g for _, p, _, _ in RULES for alt in required_trigrams(p) for g in alt)
     hits = trigram_index(texts, wanted).join(F.broadcast(rules), "trigram")
-    met = hits.groupBy("source_table", "row_id", "chunk", "rule", "alt", "full").agg(F.bit_or("bit").alias("bits")).where("bits = full")
+    met = hits.groupBy("source_table", "row_id", "rule", "alt", "full").agg(F.bit_or("bit").alias("bits")).where("bits = full")
     return met.groupBy("source_table", "row_id").agg(F.collect_set("rule").alias("rules"))
 
 
@@ -216,7 +223,7 @@ def all_texts(files: DataFrame, fn_defs: DataFrame) -> DataFrame:
 def verified(files: DataFrame, fn_defs: DataFrame) -> DataFrame:
     """Per text with credentials: their rules and lines, and the text redacted.
 
-    A trigram index over overlapping chunks gives candidates (a text and the rules whose required trigrams one of its chunks holds);
+    A trigram index over overlapping chunks gives candidates (a text and the rules whose required trigrams its chunks hold);
     only these are verified, on the whole text. Defined results: null and empty texts give no row; a row given twice gives one row;
     lines are ended by \\n; a credential that goes on in the next line counts where it begins.
     """

@@ -104,3 +104,16 @@ def test_operator_over_both_tables(spark):
     assert {k: v[0] for k, v in got.items()} == {("file_records", 1): 3001, ("file_records", 4): 1, ("fn_defs", 9): 3}
     assert len(got["file_records", 1][1]) == len(long) - len("Zx9Qw8Er7Ty6Ui5Op4As") + len("REDACTED")
     assert C.verified(f.limit(0), n.limit(0)).count() == 0
+
+
+def test_candidates_hold_every_verified_find(spark):
+    key = "aB3" * 12
+    texts = [
+        f'x = "gh" +\n  "p_{key}"', 'x = "-----BEGIN RSA PRI" +\n  "VATE KEY-----\\nabc"', 'u = "postgres:" +\n "//svc:WuXoonjpSmNYl@db.x/y"', f'api_key = "{key * 30}"', f'pw = "{key * 30}"', f"u = 'postgres://svc:{key * 30}@db.x/y'",
+        'pa\u017f\u017fword = "Zx9Qw8Er7Ty6"', "# curl " + "x" * 4080 + " mysql " + "y" * 190 + " -pSecret99Ab\n",
+    ]
+    f = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "file_id long, content string, is_code boolean")
+    n = spark.createDataFrame([], "fn_id long, code string")
+    got = {r.row_id: [x.rule for x in r.found] for r in C.verified(f, n).collect()}
+    assert got == {k: [x for x, _ in C.find_credentials(t)] for k, t in enumerate(texts)} and all(got.values())
+    assert key * 2 not in "".join(r.redacted for r in C.verified(f, n).collect())
