@@ -67,12 +67,12 @@ def path_kind(path: str | None) -> str | None:
 
 
 def tokens_of(text: str) -> tuple[list[str], list[str]]:
-    """Masked tokens (identifiers I, texts S, numbers N; words of the languages and signs as they are) and the comments."""
+    """Masked tokens (identifiers I, texts S, numbers N; words of the languages and signs as they are) and the comments, each with how many tokens precede it."""
     out, comments = [], []
     for m in _TOKEN.finditer(text):
         k = m.lastgroup
         if k == "c":
-            comments.append((m.start(), m[0]))
+            comments.append((m.start(), m[0], len(out)))
         elif k == "s":
             out.append("S")
         elif k == "n":
@@ -105,11 +105,16 @@ def band_keys(sh: np.ndarray) -> list[int]:
 
 
 def content_kind(text: str, masked: list[str], comments: list) -> str | None:
-    """What the text itself says: its first comments, its density, its share of literals."""
-    head = "\n".join(c for p, c in comments if p < 1500)[:3000]
-    if GENERATED_SAYS.search(head):
+    """What the text itself says: its first and last comments, its density, its share of literals.
+
+    First comments are those before the first code, however long (texts that stand alone there are no code), and those early in the
+    text; last ones follow all code.
+    """
+    first = next((k for k, t in enumerate(masked) if t not in ("S", ";")), len(masked))
+    says = "\n".join(c for p, c, k in comments if k <= first or k == len(masked) or p < 1500)
+    if GENERATED_SAYS.search(says):
         return "generated"
-    if VENDOR_SAYS.search(head):
+    if VENDOR_SAYS.search(says):
         return "vendored"
     words = [t for t in masked if t[0].isalpha()]
     literals = sum(t in ("S", "N") for t in masked)
@@ -185,8 +190,10 @@ def families(traits: DataFrame) -> DataFrame:
 
     In each band bucket every class is first held against the bucket's least class, which joins most of a family by as many
     candidates as the bucket has classes. What is similar without being similar to the least is then found among the pairs of the
-    bucket that are still of different families. Both are verified on the shingles themselves.
+    bucket that are still of different families. Both are verified on the shingles themselves. Files too short for bands are of one
+    family where they are of one class.
     """
+    short = traits.where("bands is null and class is not null").select("class").dropDuplicates().withColumn("family", F.col("class"))
     cls = traits.where("bands is not null").select("class", "shingles", "bands").dropDuplicates(["class"])
     cls = durable(map_rows(cls, "class long, shingles array<int>, bands array<long>, sketch array<long>", lambda r: [(r["class"], r["shingles"], r["bands"], parity_sketch(np.array(r["shingles"], np.int32)))]))
     b = cls.select("class", F.posexplode("bands").alias("band", "key"))
@@ -200,7 +207,7 @@ def families(traits: DataFrame) -> DataFrame:
     first = durable(cls.select("class").join(comp, "class", "left").withColumn("family", F.coalesce("family", "class")))
     links = _across(cls, first).join(first.toDF("a", "u"), "a").join(first.toDF("b", "v"), "b").select("u", "v").dropDuplicates()
     joined = connected_components(durable(links), "u", "v").select(F.col("node").alias("family"), F.col("component").alias("whole"))
-    return first.join(joined, "family", "left").select("class", F.coalesce("whole", "family").alias("family"))
+    return first.join(joined, "family", "left").select("class", F.coalesce("whole", "family").alias("family")).unionByName(short)
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

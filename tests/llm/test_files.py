@@ -33,6 +33,19 @@ def test_family_marks_its_unmarked_files(spark):
     assert kinds(spark, rows) == {("r", f"src/m{k}.js"): "generated" for k in range(5)}
 
 
+def test_marks_after_long_licences_and_at_the_end():
+    licence = "".join(f"// Term {i} of the licence holds as written above.\n" for i in range(200))
+    code = "function add(a, b) { return a > b ? a + b : b - a; }\n" * 40
+    texts = {"a.js": licence + "// Code generated by x. DO NOT EDIT.\n" + code, "b.js": code + "// Code generated by x. DO NOT EDIT.\n", "c.js": licence + code, "d.js": code + "// code generated by x is kept elsewhere\n" + code, "e.js": "'use strict';\n" + licence + "// @generated\n" + code}
+    assert {k for k, v in texts.items() if G.content_kind(v, *G.tokens_of(v)) == "generated"} == {"a.js", "b.js", "e.js"}
+
+
+def test_short_files_of_one_class_are_a_family(spark):
+    rows = [("r", f"m{k}.js", ("// @generated by tool\n" if k < 3 else "") + f"module.exports = x{k};\n", 20, 1, True) for k in range(4)] + [("r", "n.js", "f();\n", 20, 1, True)]
+    assert kinds(spark, rows) == {("r", f"m{k}.js"): "generated" for k in range(4)}
+    assert {r.family_size for r in G.not_handwritten(spark.createDataFrame(rows, FILES)).collect()} == {4}
+
+
 def test_similarity_is_verified(spark):
     t = G.file_traits(spark.createDataFrame([("r", "a.py", HAND * 3, 1, 1, True), ("r", "b.py", (HAND * 3).replace("Store", "Other").replace("add", "plus"), 1, 1, True), ("r", "c.js", "const a = [1, 2, 3].map((x) => x + 1);\n" * 9, 1, 1, True)], FILES))
     f = {r["class"]: r.family for r in G.families(t).collect()}
