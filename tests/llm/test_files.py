@@ -130,3 +130,40 @@ def test_candidates_hold_every_verified_find(spark):
     got = {r.row_id: [x.rule for x in r.found] for r in C.verified(f, n).collect()}
     assert got == {k: [x for x, _ in C.find_credentials(t)] for k, t in enumerate(texts)} and all(got.values())
     assert key * 2 not in "".join(r.redacted for r in C.verified(f, n).collect())
+
+
+def test_families_decide_by_shape_without_marks(spark):
+    getters = lambda n: "package p\n" + "".join(f"func (x *{n}) Get{k}() string {{\n\tif x != nil {{\n\t\treturn x.F{k}\n\t}}\n\treturn \"\"\n}}\n" for k in range(12))
+    blob = lambda n: "table = [\n" + "".join(f"  {k * n}, 0x{k:x}, '{n}{k}',\n" for k in range(60)) + "]\n"
+    rows = [("r", "src/a.go", getters("A"), 70, 12, True), ("q", "lib/b.go", getters("Bcd"), 70, 12, True), ("r", "src/t.py", blob(3), 62, 1, True), ("q", "src/u.py", blob(7), 62, 1, True), ("r", "src/hand.py", HAND, 12, 3, True)]
+    d = G.not_handwritten(spark.createDataFrame(rows, FILES))
+    assert {(r.path, r.kind, r.evidence, r.family_size) for r in d.collect()} == {("src/a.go", "generated", "family", 2), ("lib/b.go", "generated", "family", 2), ("src/t.py", "data", "family", 2), ("src/u.py", "data", "family", 2)}
+
+
+def test_copies_in_other_repositories_are_vendored(spark):
+    text = "\n".join(f"def step_{w}({w}, {w}_limit):\n    if {w} > {w}_limit:\n        return {w} - {k}\n    return [{w} for _ in range({k})]" for k, w in enumerate("alpha beta gamma delta".split()))
+    rows = [("b", "x.py", text, 10, 1, True, 5), ("a", "y.py", "# ours\n" + text, 10, 1, True, 9), ("c", "z.py", text.replace("    ", "  "), 10, 1, True, None), ("d", "w.py", text.replace("alpha", "other"), 10, 1, True, 1)]
+    d = spark.createDataFrame(rows, FILES + ", indexed_at long").selectExpr("* except (indexed_at)", "timestamp_seconds(indexed_at) indexed_at")
+    assert {(r.repo_id, r.kind, r.evidence) for r in G.not_handwritten(d).collect()} == {("a", "vendored", "copy"), ("c", "vendored", "copy")}
+
+
+def test_families_hold_all_similar_pairs(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        base = [rng.choice("if for while x = + ( ) [ ] { } return 1 'a' , ; def import".split()) for _ in range(150)]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(150)] = rng.choice("if for ( ) = return".split())
+            texts.append(" ".join(own))
+    rows = [("r", f"{k}.py", t, 1, 1, True) for k, t in enumerate(texts)]
+    t = G.file_traits(spark.createDataFrame(rows, FILES)).persist()
+    fam = {r["class"]: r.family for r in G.families(t).collect()}
+    got = [(r["class"], set(r.shingles)) for r in t.collect()]
+    pairs = [(fam[a] == fam[b]) for i, (a, x) in enumerate(got) if i % 20 == 0 for b, y in got if a != b and len(x & y) >= 0.8 * len(x | y)]
+    assert len(pairs) > 10 and np.mean(pairs) >= 0.9
