@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import sys
-import warnings
 
 from codestrata.llm.syntax import c, ecma, go, java, json_, python_
 from codestrata.llm.syntax.base import Bail, Lines
@@ -30,26 +28,11 @@ def _normal(text: str) -> str:
 CALLS = 64
 
 
-def _exact_python(text: str) -> list[tuple[int, str]] | None:
-    """The interpreter's verdict; None where its own stack does not suffice for one."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except SyntaxError as e:
-        return [(e.lineno or 1, str(e.msg))]
-    except ValueError as e:
-        return [(1, type(e).__name__)]
-    except (RecursionError, MemoryError):
-        return None
-    return []
-
-
 def syntax_errors(text: str, language: str) -> list[tuple[int, str]]:
     """All errors as (line, what), in order; empty for a valid text. A language without a parser is never judged.
 
-    Python texts pass an exact check by the interpreter's own grammar after the descent, which settles both ways. Depth of nesting
-    is never an error: the limit of recursion grows with the text, and calls between Python functions take no C stack.
+    The descent alone decides, in every language. Depth of nesting is never an error: the limit of recursion grows with the text, and
+    calls between Python functions take no C stack.
     """
     parse = _PARSERS.get(language)
     if parse is None:
@@ -64,8 +47,4 @@ def syntax_errors(text: str, language: str) -> list[tuple[int, str]]:
     finally:
         sys.setrecursionlimit(old)
     lines = Lines(t)
-    out = sorted({(lines.of(p), w) for p, w in errors})
-    if language == "Python":
-        exact = _exact_python(t)
-        out = out if exact is None else (out or exact) if exact else []
-    return out
+    return sorted({(lines.of(p), w) for p, w in errors})
