@@ -17,7 +17,7 @@ CHUNK, OVERLAP = 4096, 768
 # Prefixes that issuers give their tokens.
 _PREFIXED = (
     r"(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|npm_[A-Za-z0-9]{30,}|AIza[\w-]{35}|sk-[A-Za-z0-9]{20,}|"
-    r"[a-z]{2,8}_(?:live|test|prod)_[A-Za-z0-9]{14,}|qz-[A-Za-z0-9]{6,12}-[A-Za-z0-9]{6,}|eyJ[\w-]{10,}\.eyJ[\w-]{6,}\.[\w-]{10,}|hvs\.[\w-]{20,})"
+    r"[a-z]{2,8}_(?:live|test|prod)_[A-Za-z0-9]{14,}|eyJ[\w-]{10,}\.eyJ[\w-]{6,}\.[\w-]{10,}|hvs\.[\w-]{20,})"
 )
 _NAME = r"(?:password|passwd|passphrase|phrase|pwd|pass|secret|token|api[_-]?key|auth|cred|credential|credentials|bearer|(?:signing|deploy|cookie|hmac|tls|access|private|secret|encryption|session|ssh|service|master|storage|account|license)[_-]?key)"
 _SHORT = ("pw", "k[0-9]", "key")
@@ -32,22 +32,22 @@ RULES: list[tuple[str, str, str, bool]] = [
     ("key_block", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", "any", False),
     ("prefixed", rf"(?<![A-Za-z0-9+/=_-])(?P<v>{_PREFIXED})(?![A-Za-z0-9+/_-])", "any", False),
     ("vault_token", r"[\"'`= ]s\.(?P<v>[A-Za-z0-9]{24})(?![A-Za-z0-9(.])", "mixed", False),
-    ("named", rf"(?<![A-Za-z0-9])[\w.-]{{0,40}}?{_NAME}{_OPENS}", "named", False),
+    ("named", rf"(?<![\w.-])[\w.-]*?{_NAME}{_OPENS}", "named", False),
     ("short_named", rf"(?<![A-Za-z0-9_.-]){_SHORT_OPENS}{_VALUE}", "short", False),
-    ("config", rf"^[ \t]*(?:export[ \t]+|- )?[\"']?[\w.-]{{0,40}}?{_NAME}[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,]{{6,}})[ \t\r]*$", "named", True),
+    ("config", rf"^[ \t]*(?:export[ \t]+|- )?[\"']?[\w.-]*?{_NAME}[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,]{{6,}})[ \t\r]*$", "named", True),
     ("config_short", r"^[ \t]*(?:export[ \t]+|- )?(?:pw[ =:]|k[0-9][ =:]|key[ =:])[ \t:=]*(?P<v>[^\s\"'`#;,:=][^\s\"'`#;,]{5,})[ \t\r]*$", "short", True),
-    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,80}:(?P<v>[^\s/@\"'<>]{3,})@[\w.\[-]", "weak", False),
+    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]*:(?P<v>[^\s/@\"'<>]{3,})@[\w.\[-]", "weak", False),
     ("authorization", r"(?:authorization|auth)[\"']?\s*[:=]\s*[\"']?(?:bearer|token|apikey)\s+(?P<v>[A-Za-z0-9._~+/=-]{12,})", "mixed", False),
     ("bearer", r"bearer +(?P<v>[A-Za-z0-9._~+/=-]{16,})", "mixed", False),
     ("basic", r"basic +(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", "basic", False),
-    ("x_header", r"x-(?:auth|api|access|amz)[\w-]{0,30}[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9._~+/=-]{16,})", "mixed", False),
-    ("cookie", r"cookie[\"']?\s*[:=]\s*[\"']?[\w-]{0,20}?(?:sid|session|token|auth)[\w-]{0,20}\s*=\s*(?P<v>[^\s;\"'`]{16,})", "mixed", False),
+    ("x_header", r"x-(?:auth|api|access|amz)[\w-]*[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9._~+/=-]{16,})", "mixed", False),
+    ("cookie", r"cookie[\"']?\s*[:=]\s*[\"']?[\w-]*?(?:sid|session|token|auth)[\w-]*\s*=\s*(?P<v>[^\s;\"'`]{16,})", "mixed", False),
     ("connection", r"(?<=[;\s\"'?&])(?:password|passwd|pwd)=(?P<v>[^\s;\"'`&,()\[\]{}]{6,})(?=[;\s\"'`&]|$)", "weak", False),
     ("auth_token", r"_auth(?:token)?=[\"']?(?P<v>[^\s\"'`;]{6,})", "weak", False),
-    ("mysql", r"(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\n\"'`]{0,200}?\s-p(?P<v>[^\s\"'`]{6,})", "weak", False),
-    ("curl", r"(?:curl|wget|http)\b[^\n\"'`]{0,200}?\s(?:-u|--user)[ =]+[^\s:\"'`]{1,60}:(?P<v>[^\s\"'`@]{4,})", "weak", False),
+    ("mysql", r"(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\n\"'`]*?\s-p(?P<v>[^\s\"'`]{6,})", "weak", False),
+    ("curl", r"(?:curl|wget|http)\b[^\n\"'`]*?\s(?:-u|--user)[ =]+[^\s:\"'`]+:(?P<v>[^\s\"'`@]{4,})", "weak", False),
     ("option", r"--(?:password|passwd|token|secret|api-key)[ =](?P<v>[^\s\"'`;]{6,})", "weak", False),
-    ("comment", r"(?://|#|/\*|\*|--|;)[^\n\"']{0,120}?\b(?:works with|login:|login is|key was|key is|key:|pass:|pass is|password:|password is|password was|token:|token is|token was|secret:|secret is|secret was)[ \t]+(?P<v>[^\s\"'`,]{6,})", "comment", False),
+    ("comment", r"\b(?:(?:key|pass|password|passphrase|token|secret|login|credential)(?: is| was|:)|works with)[ \t]+(?P<v>[^\s\"'`,]{6,})", "comment", False),
 ]
 _COMPILED = {n: re.compile(p, (re.M if n in ("key_block", "prefixed", "vault_token") else re.M | re.I)) for n, p, _, _ in RULES}
 _STRENGTH = {n: s for n, _, s, _ in RULES}
@@ -115,6 +115,12 @@ def _joined(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(parts), at, src
 
 
+def _in_comment(text: str, at: int) -> bool:
+    """Whether a sign of a comment stands before `at` in its line, with no quote in between."""
+    start = max(text.rfind(c, 0, at) for c in "\n\"'") + 1
+    return any(text.find(c, start, at) >= 0 for c in ("//", "#", "*", "--", ";"))
+
+
 def find_credentials(text: str, config: bool = False, rules: list[str] | None = None) -> list[tuple[str, list[tuple[int, int]]]]:
     """(rule, spans) of each credential in order; more than one span where a string goes on in the next line.
 
@@ -146,6 +152,8 @@ def find_credentials(text: str, config: bool = False, rules: list[str] | None =
                 if close >= 0 and not 0 <= nxt < end:
                     b = close + 5
                 found.append((a, b, name))
+            elif name == "comment" and not _in_comment(joined, m.start()):
+                continue
             elif _strong(v.strip() if name not in ("named", "short_named") else v, _STRENGTH[name]) and not v.startswith("-----BEGIN"):
                 found.append((a, b, name))
     found.sort(key=lambda x: (x[0], -x[1]))

@@ -167,3 +167,13 @@ def test_families_hold_all_similar_pairs(spark):
     got = [(r["class"], set(r.shingles)) for r in t.collect()]
     pairs = [(fam[a] == fam[b]) for i, (a, x) in enumerate(got) if i % 20 == 0 for b, y in got if a != b and len(x & y) >= 0.8 * len(x | y)]
     assert len(pairs) > 10 and np.mean(pairs) >= 0.9
+
+
+def test_index_loses_nothing(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    texts = ['k = "gh" +\n  "p_' + "a1B2" * 9 + '"', f"x = '{key}'", "plain text", "password = \"" + "aB3-" * 200 + "\"", "# login is aB3xyz99", "curl -u " + "u" * 90 + ":pA55word9 http://x", "a" * 200_000 + " token: 'q1W2e3R4t5'", "", "// no secret here", ";" * 3000 + "x"]
+    f = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "file_id long, content string, is_code boolean")
+    fn = spark.createDataFrame([], "fn_id long, code string")
+    got = {r.row_id: sorted((x.line_no, x.rule) for x in r.found) for r in C.verified(f, fn).collect()}
+    want = {k: sorted((t.count("\n", 0, s[0][0]) + 1, n) for n, s in x) for k, t in enumerate(texts) if (x := C.find_credentials(t))}
+    assert got == want and set(want) == {0, 1, 3, 4, 5, 6}
