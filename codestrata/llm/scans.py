@@ -10,19 +10,24 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.llm.arrow import map_rows
-
-#: The lexicon holds words that make up at least this share of all words (and occur so often): at most 1/share words.
-LEAST_SHARE, LEAST_COUNT = 2e-6, 5
-#: Training uses at most so many clean chunks.
-TRAINING_CHUNKS, EPOCHS = 1500, 4
+from codestrata.session import durable
+
+#: Words that occur at least so often are known, however large the corpus.
+LEAST_COUNT = 5
+#: Training sees the counts of at most so many words, the most frequent ones.
+TRAINING_WORDS = 200_000
+#: What is read for what is learned from pairs of words that differ in one place: so many pairs, the meant word so many times as frequent, words of so many letters.
+PAIRS, PAIR_RATIO, PAIR_LETTERS = 5, 10, 5
+#: Training uses at most so many clean chunks, and so many letters of each.
+TRAINING_CHUNKS, TRAINING_LETTERS, EPOCHS = 1500, 20_000, 4
 #: So many times rarer than another word, a word that can be its misreading is taken for one (short words, and those of five letters and more).
 RARER, RARER_LONG = 25, 5
 #: Training goes on until the right edit leads by this score.
 MARGIN = 2.0
 #: Lines from the page's edge that can be furniture, not counting page numbers.
-EDGE = 2
+EDGE = 3
 
-# What recognition commonly reads instead of what stands on the page (read -> meant).
+# What recognition commonly reads instead of what stands on the page (read -> meant); what a corpus shows is learned besides.
 CONFUSIONS = [
     ("c", "e"), ("0", "o"), ("5", "s"), ("f", "t"), ("ri", "n"), ("l", "i"), ("1", "l"), ("1", "i"), ("cl", "d"), ("b", "h"), ("rn", "m"), ("ii", "u"), ("q", "g"), ("vv", "w"), ("m", "rn"), ("o", "a"),
     ("8", "b"), ("6", "g"), ("2", "z"), ("9", "g"), ("u", "v"), ("li", "h"), ("lc", "k"), ("tl", "d"), ("|", "l"), ("!", "l"), ("$", "s"), ("@", "a"),
@@ -97,58 +102,97 @@ def _bucket(n: int) -> int:
     return 0 if n == 0 else 1 + min(8, int(math.log2(n) / 1.5))
 
 
-_NAME = re.compile(r"(?:[bcdfghjklmnpqrstvwxz][aeiou]){2,6}$")
+def trigrams(lexicon) -> Counter:
+    """Counts of the letter trigrams of words, their ends marked."""
+    return Counter(w[i : i + 3] for word in lexicon for w in [f"^{word}$"] for i in range(len(w) - 2))
+
+
+def _shape(low: str, tri: dict) -> int:
+    """How usual the word's rarest trigram is."""
+    w = f"^{low}$"
+    return min(_bucket(tri.get(w[i : i + 3], 0)) for i in range(len(w) - 2))
+
+
+def by_first(table) -> dict[str, list[tuple[str, str]]]:
+    """read -> meant by the first character of what is read."""
+    out: dict = defaultdict(list)
+    for read, meant in table:
+        out[read[0]].append((read, meant))
+    return dict(out)
 
 
-def edits(word: str, lexicon: dict) -> list[tuple[int, str, str, str, list]]:
-    """Edits of one place of a word: (place, read, meant, result, character operations)."""
-    low, out = word.lower(), []
-    for read, meant in CONFUSIONS:
-        i = low.find(read)
-        while i >= 0:
-            new = low[:i] + meant + low[i + len(read) :]
-            ops = [("replace", meant[0])] + [("insert", x) for x in meant[1:]] + [("delete", "")] * (len(read) - 1)
-            out.append((i, read, meant, new, ops))
-            i = low.find(read, i + 1)
+_COMMON = by_first(CONFUSIONS)
+
+
+def edits(word: str, table: dict | None = None) -> list[tuple[int, str, str, str, list]]:
+    """Operations at each character of a word: (place, read, meant, result, what is done to the characters)."""
+    low, out, table = word.lower(), [], _COMMON if table is None else table
+    for i, c in enumerate(low):
+        for read, meant in table.get(c, ()):
+            if low.startswith(read, i):
+                ops = [("replace", meant[0])] + [("insert", x) for x in meant[1:]] + [("delete", "")] * (len(read) - 1)
+                out.append((i, read, meant, low[:i] + meant + low[i + len(read) :], ops))
     return out
 
 
-def _keep_features(word: str, lexicon: dict) -> list:
+def _kind(c: str) -> str:
+    return "letter" if c.isalpha() else "digit" if c.isdigit() else "sign" if c else "end"
+
+
+def _context(low: str, i: int, n: int) -> tuple[str, str]:
+    return _kind(low[i - 1 : i]), _kind(low[i + n : i + n + 1])
+
+
+def _keep_features(word: str, i: int, lexicon: dict, tri: dict) -> list:
+    """Keeping the character at `i`."""
     low = word.lower()
-    return ["keep", ("k", _bucket(lexicon.get(low, 0))), ("k-name", bool(_NAME.match(low))), ("k-digit", any(c.isdigit() for c in word), any(c.isalpha() for c in word))]
+    known = _bucket(lexicon.get(low, 0))
+    return ["keep", ("k", known), ("k-shape", min(_shape(low, tri), 4), known > 0), ("k-char", _kind(low[i]), known > 0), ("k-around", _kind(low[i]), *_context(low, i, 1)), ("k-digit", any(c.isdigit() for c in word), any(c.isalpha() for c in word))]
 
 
-def _edit_features(word: str, e: tuple, lexicon: dict) -> list:
+def _edit_features(word: str, e: tuple, lexicon: dict, tri: dict) -> list:
     i, read, meant, new, ops = e
     low = word.lower()
     a, b = lexicon.get(low, 0), lexicon.get(new, 0)
     ratio = min(9, int(math.log2((b + 1) / (a + 1)))) if b > a else -1
     odd = any(not c.isalpha() for c in read)
+    x, y = _shape(low, tri), _shape(new, tri)
     f = ["edit", ("to", _bucket(b)), ("ratio", ratio), ("known", b > 0, a > 0), ("lead", _bucket(a), ratio), ("op", read, meant, b > 0), ("odd", odd, b > 0), ("len", min(len(word), 6), b > 0), ("place", "start" if i == 0 else "end" if i + len(read) == len(low) else "in", b > 0)]
-    f.extend(("char", kind, x, b > 0) for kind, x in ops)
+    f += [("shape", min(y, 4), y > x, b > 0), ("around", odd, *_context(low, i, len(read)), b > 0)]
+    f.extend(("char", kind, c, b > 0) for kind, c in ops)
     if odd:
-        f.append(("odd-name", bool(_NAME.match(new)), sum(c.isdigit() for c in word)))
+        f.append(("odd-shape", min(y, 4), sum(c.isdigit() for c in word)))
     return f
 
 
-def fix_word(word: str, lexicon: dict, model: Perceptron, rounds: int = 3) -> str:
-    """The word with the edits that outscore keeping it, one place after the other."""
-    for _ in range(rounds):
-        if not any(c.isalpha() for c in word) or len(word) < 2:
-            return word
-        best, top = None, model.score(_keep_features(word, lexicon))
-        for e in edits(word, lexicon):
-            s = model.score(_edit_features(word, e, lexicon))
-            if s > top:
-                best, top = e, s
-        if best is None:
-            return word
-        i, read, meant, _, _ = best
-        seg = word[i : i + len(read)]
-        upper = word.isupper() if sum(c.isalpha() for c in word) > 1 else False
-        if upper or (seg[0].isupper() and i == 0):
-            meant = meant.upper() if upper else meant[0].upper() + meant[1:]
-        word = word[:i] + meant + word[i + len(read) :]
+def next_form(word: str, lexicon: dict, model: Perceptron, tri: dict, table: dict) -> str | None:
+    """The word after the surest operation of those predicted for its characters; None if every character is kept."""
+    if len(word) < 2 or not any(c.isalpha() for c in word):
+        return None
+    best, top, keep = None, 0.0, {}
+    for e in edits(word, table):
+        i = e[0]
+        if i not in keep:
+            keep[i] = model.score(_keep_features(word, i, lexicon, tri))
+        s = model.score(_edit_features(word, e, lexicon, tri)) - keep[i]
+        if s > top:
+            best, top = e, s
+    if best is None:
+        return None
+    i, read, meant, _, _ = best
+    seg = word[i : i + len(read)]
+    upper = word.isupper() if sum(c.isalpha() for c in word) > 1 else False
+    if upper or (seg[0].isupper() and i == 0):
+        meant = meant.upper() if upper else meant[0].upper() + meant[1:]
+    return word[:i] + meant + word[i + len(read) :]
+
+
+def fix_word(word: str, lexicon: dict, model: Perceptron, tri: dict, table: dict) -> str:
+    """The word when every character is kept, or it would become what it was before."""
+    seen = {word}
+    while (new := next_form(word, lexicon, model, tri, table)) is not None and new not in seen:
+        seen.add(new)
+        word = new
     return word
 
 
@@ -172,19 +216,16 @@ def _line_features(line: str, place: int, top: bool, repeated: bool, width: int)
 
 
 class Editor:
-    """What training gives: the lexicon and three sets of weights."""
+    """What training gives: three sets of weights, the usual trigrams and what is read for what; and the lexicon.
 
-    def __init__(self, lexicon: dict, words: dict, joins: dict, lines: dict):
-        self.lexicon, self.words, self.joins, self.lines = lexicon, Perceptron(words), Perceptron(joins), Perceptron(lines)
-        self.cache: dict[str, str] = {}
+    fixes: for the text at hand, what its words become, if that was found beforehand; the lexicon then has to hold the words at its line ends only.
+    """
+
+    def __init__(self, lexicon: dict, words: dict, joins: dict, lines: dict, tri: dict, table: list, fixes: dict | None = None):
+        self.lexicon, self.words, self.joins, self.lines, self.tri, self.table, self.fixes = lexicon, Perceptron(words), Perceptron(joins), Perceptron(lines), tri, by_first(table), fixes
 
     def word(self, w: str) -> str:
-        got = self.cache.get(w)
-        if got is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            got = self.cache[w] = fix_word(w, self.lexicon, self.words)
-        return got
+        return fix_word(w, self.lexicon, self.words, self.tri, self.table) if self.fixes is None else self.fixes.get(w, w)
 
     def joins_at(self, left: str, mark: str, right: str) -> bool:
         a, b = _join_features(left, mark, right, self.lexicon)
@@ -260,16 +301,17 @@ class Editor:
 
 # -- training
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, n) over all texts, words broken over lines put together."""
-    t = F.regexp_replace("text", rf"(\p{{L}})[{_HYPHENS}][ \t]*\r?\n[ \t]*(\p{{L}})", "$1$2")
-    w = chunks.where("text is not null").select(F.explode(F.split(F.lower(t), r"[^\p{L}]+")).alias("word"))
+    """(word, n) over all texts, words broken over lines put together: words of letters, and besides those with digits or signs among them."""
+    t = F.lower(F.regexp_replace("text", rf"(\p{{L}})[{_HYPHENS}][ \t]*\r?\n[ \t]*(\p{{L}})", "$1$2"))
+    mixed = F.filter(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}|!$@]*[\p{L}\p{N}]"), F.lit(0)), lambda w: w.rlike(r"\p{L}") & w.rlike(r"[^\p{L}]"))
+    w = chunks.where("text is not null").select(F.explode(F.concat(F.split(t, r"[^\p{L}]+"), mixed)).alias("word"))
     return w.where(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def damage(word: str, rng: random.Random) -> str | None:
+def damage(word: str, rng: random.Random, table: list = CONFUSIONS[:16]) -> str | None:
     """The word with one place misread, or None if nothing in it can be."""
     low = word.lower()
-    places = [(i, read, meant) for read, meant in CONFUSIONS[:16] for i in range(len(low) - len(meant) + 1) if low.startswith(meant, i)]
+    places = [(i, read, meant) for read, meant in table for i in range(len(low) - len(meant) + 1) if low.startswith(meant, i)]
     if not places:
         return None
     i, read, meant = rng.choice(places)
@@ -277,32 +319,66 @@ def damage(word: str, rng: random.Random) -> str | None:
     return word[:i] + (read.upper() if seg.isupper() and len(word) > 1 and word.isupper() else read) + word[i + len(meant) :]
 
 
-def train(texts: list[str], lexicon: dict, seed: int = 11) -> tuple[dict, dict, dict]:
-    """Weights of the word editor, the line joiner and the furniture classifier, from clean texts damaged on purpose."""
+def learned_confusions(counts: DataFrame) -> list[tuple[str, str]]:
+    """(read, meant) pairs of one or two characters that the corpus itself shows, most usual first.
+
+    Words are brought together by what is left when one or two characters are taken out. Where the most frequent word of such a
+    group is PAIR_RATIO times as frequent as another, the characters taken out are counted as read and meant; pairs found at PAIRS
+    words or more are no chance. At most as many rows come back as there are pairs of characters.
+    """
+
+    def one(r: dict) -> list[tuple]:
+        w = r["word"]
+        return [(w[:i] + "\0" + w[i + k :], w[i : i + k], r["n"]) for k in (1, 2) for i in range(len(w) - k + 1)]
+
+    k = map_rows(counts.where(F.length("word") >= PAIR_LETTERS), "key string, piece string, n long", one)
+    top = k.groupBy("key").agg(F.max(F.struct("n", "piece")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.n").alias("top"), F.col("m.piece").alias("meant"))
+    p = k.join(top, "key").where((F.col("piece") != F.col("meant")) & (F.col("top") >= PAIR_RATIO * F.col("n"))).select(F.col("piece").alias("read"), "meant")
+    # A longer pair that begins or ends alike is a shorter one seen again.
+    p = p.where("left(read, 1) <> left(meant, 1) and right(read, 1) <> right(meant, 1)")
+    found = p.groupBy("read", "meant").agg(F.count("*").alias("n")).where(F.col("n") >= PAIRS).orderBy(F.desc("n"), "read", "meant").collect()
+    return [(r.read, r.meant) for r in found]
+
+
+def train(texts: list[str], lexicon: dict, table: list | None = None, seed: int = 11) -> tuple[dict, dict, dict, dict, list]:
+    """Weights of the character editor, the line joiner and the furniture classifier, from clean texts damaged on purpose, with the trigrams and the table of operations."""
     rng = random.Random(seed)
+    common_reads = CONFUSIONS[:16]
+    table = list(dict.fromkeys([*(table or ()), *CONFUSIONS]))
+    usual = [x for x in table if x in common_reads or x not in CONFUSIONS]
+    first = by_first(table)
     words, joins, lines = Perceptron(), Perceptron(), Perceptron()
     vocab = [w for t in texts for w in _WORD.findall(t)]
+    tri = dict(trigrams({*lexicon, *(w.lower() for w in vocab if w.isalpha())}))
     rng.shuffle(vocab)
     vocab = vocab[:60_000]
     common = sorted(lexicon, key=lambda w: (-lexicon[w], w))[:4000]
     for _ in range(EPOCHS):
         for w in vocab[:: max(1, len(vocab) // 15_000)] + common:
             known = w.lower() in lexicon
-            bad = damage(w, rng) if rng.random() < 0.4 else None
-            seen = bad or w
+            bad = damage(w, rng, usual) if rng.random() < 0.4 else None
+            seen, gold = bad or w, w.lower()
             if bad and (bad.lower() in lexicon or not known and not any(c.isdigit() for c in bad)):
                 continue
-            cands = [(_keep_features(seen, lexicon), seen.lower())] + [(_edit_features(seen, e, lexicon), e[3]) for e in edits(seen, lexicon)]
-            gold = w.lower()
-            right = [f for f, r in cands if r == gold]
-            if not right:
+            # Each character has its right operation: the one that gives the word back, or to be kept.
+            at: dict = defaultdict(list)
+            for e in edits(seen, first):
+                at[e[0]].append(e)
+            right = [e for e in (x for v in at.values() for x in v) if e[3] == gold]
+            if bad and not right:
                 continue
-            words.step()
-            wrong = [f for f, r in cands if r != gold]
-            if wrong:
-                good, bad_one = max(right, key=words.score), max(wrong, key=words.score)
-                if words.score(good) < words.score(bad_one) + MARGIN:
-                    words.update(good, bad_one)
+            for i, ops in at.items():
+                own = [e for e in ops if e[3] == gold] if bad else []
+                if bad and not own and any(e[3] == gold for e in ops):
+                    continue
+                words.step()
+                keep = _keep_features(seen, i, lexicon, tri)
+                good = [_edit_features(seen, e, lexicon, tri) for e in own] or [keep]
+                wrong = [_edit_features(seen, e, lexicon, tri) for e in ops if e[3] != gold] + ([keep] if own else [])
+                if wrong:
+                    g, x = max(good, key=words.score), max(wrong, key=words.score)
+                    if words.score(g) < words.score(x) + MARGIN:
+                        words.update(g, x)
         for w in rng.sample(vocab, min(6000, len(vocab))):
             if len(w) < 5 or not w.isalpha():
                 continue
@@ -339,27 +415,72 @@ def train(texts: list[str], lexicon: dict, seed: int = 11) -> tuple[dict, dict,
                 got = max(sorted(f), key=lambda c: lines.score(f[c]))
                 if got != gold:
                     lines.update(f[gold], f[got])
-    return words.finish(), joins.finish(), lines.finish()
+    return words.finish(), joins.finish(), lines.finish(), tri, table
+
+
+def known_words(counts: DataFrame, table: dict) -> DataFrame:
+    """(word, n) of the words that occur LEAST_COUNT times, but those that are a much rarer misreading of another one."""
+    known = counts.where(F.col("n") >= LEAST_COUNT)
+    e = map_rows(known, "word string, n long, other string", lambda r: [(r["word"], r["n"], x[3]) for x in edits(r["word"], table)])
+    j = e.join(known.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
+    rarer = F.when(F.length("word") < 5, RARER).otherwise(RARER_LONG)
+    return known.join(j.where(F.col("m") >= rarer * F.col("n")).select("word").dropDuplicates(), "word", "left_anti")
 
 
-def fit(chunks: DataFrame, docs: DataFrame) -> tuple[dict, dict, dict, dict]:
-    """(lexicon, weights...). Word counts cover all texts; training uses a bounded sample of chunks that show no trace of a page.
+def fit(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, tuple]:
+    """(known words with their counts, what an Editor takes). Counts cover all texts; training uses a bounded sample of chunks that show no trace of a page.
 
     docs.kind is a hint only, so a chunk is clean if its document is not called a scan and no line ends in a hyphen or is a page number.
     """
-    counts = word_counts(chunks)
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
-    lexicon = {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}
-    # A word that is a much rarer misreading of another one is no word of its own.
-    for w in sorted(lexicon, key=lambda x: lexicon[x]):
-        if any(lexicon.get(e[3], 0) >= (RARER if len(w) < 5 else RARER_LONG) * lexicon[w] for e in edits(w, lexicon)):
-            del lexicon[w]
+    counts = durable(word_counts(chunks))
+    table = list(dict.fromkeys([*learned_confusions(counts), *CONFUSIONS]))
+    known = durable(known_words(counts.where(F.col("word").rlike(r"^\p{L}+$")), by_first(table)))
+    lexicon = {r.word: r.n for r in known.orderBy(F.desc("n"), "word").limit(TRAINING_WORDS).collect()}
     scans = docs.where(F.lower("kind").isin("pdf", "image")).select(F.col("id").alias("doc_id")).dropDuplicates()
-    clean = chunks.where("text is not null").where(~F.col("text").rlike(rf"[{_HYPHENS}][ \t]*[\r\n]|(?m)^\W*\d+\W*$")).where(F.length("text") < 20_000)
+    clean = chunks.where("text is not null").where(~F.col("text").rlike(rf"[{_HYPHENS}][ \t]*[\r\n]|(?m)^\W*\d+\W*$"))
     clean = clean.join(scans, "doc_id", "left_anti")
-    sample = [r.text for r in clean.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(TRAINING_CHUNKS).select("text").collect()]
-    return (lexicon, *train(sample, lexicon))
+    sample = [r.text for r in clean.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(TRAINING_CHUNKS).select(F.left("text", F.lit(TRAINING_LETTERS)).alias("text")).collect()]
+    return known, train(sample, lexicon, table)
+
+
+def word_fixes(words: DataFrame, known: DataFrame, model) -> DataFrame:
+    """(word, fixed) of the words that change. words: one column, each once. model: a broadcast of what an Editor takes.
+
+    What each operation would give is looked up among the known words by a join, so their number has no bound; one operation a
+    round is carried out, until no word changes.
+    """
+    cur = words.select("word", F.col("word").alias("form"), F.array("word").alias("seen"))
+    table = by_first(model.value[4])
+    done = None
+    while True:
+        look = map_rows(cur.select("form").dropDuplicates(), "form string, low string", lambda r: [(r["form"], x) for x in {r["form"].lower(), *(e[3] for e in edits(r["form"], table))}])
+        counts = look.join(known.withColumnRenamed("word", "low"), "low").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("low", "n"))).alias("counts"))
+        holder: dict = {}
+
+        def one(r: dict) -> list[tuple]:
+            m = holder.get("m")
+            if m is None:
+                w, _, _, tri, pairs = model.value
+                m = holder["m"] = Perceptron(w), tri, by_first(pairs)
+            new = next_form(r["form"], dict(r["counts"] or ()), *m)
+            return [] if new is None or new in r["seen"] else [(r["word"], new, [*r["seen"], new])]
+
+        nxt = durable(map_rows(cur.join(counts, "form", "left"), "word string, form string, seen array<string>", one))
+        if nxt.isEmpty():
+            break
+        done = nxt if done is None else done.join(nxt, "word", "left_anti").unionByName(nxt)
+        cur = nxt
+    done = cur.limit(0) if done is None else done
+    return done.select("word", F.col("form").alias("fixed"))
+
+
+def looked_up(text: str, table: dict) -> tuple[set[str], set[str]]:
+    """The words of a text that may be misread, broken ones put together, and the words at its line breaks, in small letters."""
+    body = "\n".join(_lines(text))
+    ends = {x.lower() for m in _BREAK.finditer(body) for x in (m[1], m[3], m[1] + m[3])}
+    whole = _BREAK.sub(lambda m: m[1] + m[3], body)
+    words = {w for t in (body, whole) for w in _WORD.findall(t)}
+    return {w for w in words if len(w) > 1 and edits(w, table)}, ends
 
 
 def repeated_edges(chunks: DataFrame) -> DataFrame:
@@ -380,20 +501,31 @@ def repaired_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     Defined results: null text gives no noise and null text; empty text stays empty; a chunk without damage keeps its text; a
     chunk given twice gives one row; whole texts are read; running titles need two chunks of one document (null doc_id is one document).
     """
-    sc = chunks.sparkSession.sparkContext
-    model = sc.broadcast(fit(chunks, docs))  # the lexicon has at most 1/LEAST_SHARE words
+    c = chunks.select("id", F.coalesce("doc_id", F.lit("\u0000")).alias("doc_id"), "idx", "text").dropDuplicates(["id"])
+    known, parts = fit(chunks, docs)
+    model = chunks.sparkSession.sparkContext.broadcast(parts)  # weights, trigrams and pairs of characters; no list of words
+
+    def needs(r: dict) -> list[tuple]:
+        return [(r["id"], w, k) for k, ws in enumerate(looked_up(r["text"], by_first(model.value[4]))) for w in ws]
+
+    need = durable(map_rows(c.where("text is not null").select("id", "text"), "id string, word string, at_end int", needs))
+    fixes = durable(word_fixes(need.where("at_end = 0").select("word").dropDuplicates(), known, model))
+    of_words = need.where("at_end = 0").join(fixes, "word").select("id", "word", "fixed", F.lit(0).cast("long").alias("n"))
+    of_ends = need.where("at_end = 1").join(known, "word").select("id", "word", F.lit(None).cast("string").alias("fixed"), "n")
+    look = of_words.unionByName(of_ends).groupBy("id").agg(F.collect_list(F.struct("word", "fixed", "n")).alias("look"))  # words of one chunk
     holder: dict = {}
 
     def one(r: dict) -> list[tuple]:
         m = holder.get("m")
         if m is None:
-            m = holder["m"] = Editor(*model.value)
+            m = holder["m"] = Editor({}, *model.value)
         if r["text"] is None:
             return [(r["id"], r["doc_id"], r["idx"], [], None)]
+        m.fixes = {x["word"]: x["fixed"] for x in r["look"] or () if x["fixed"] is not None}
+        m.lexicon = {x["word"]: x["n"] for x in r["look"] or () if x["fixed"] is None}
         noise, text = m.repair(r["text"], set(r["keys"] or ()))
         return [(r["id"], r["doc_id"], r["idx"], noise, text)]
 
-    c = chunks.select("id", F.coalesce("doc_id", F.lit("\u0000")).alias("doc_id"), "idx", "text").dropDuplicates(["id"])
-    d = c.join(repeated_edges(c), "id", "left")
+    d = c.join(repeated_edges(c), "id", "left").join(look, "id", "left")
     out = map_rows(d, "id string, doc_id string, idx int, noise array<string>, text string", one)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != "\u0000", F.col("doc_id")))
