@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from codestrata.llm import tokenization
 from codestrata.session import durable, ship
 
-#: Hashed features of the classifier, rounds of the projected gradient, and bins of each level of the final rounding.
-FEATURES, ROUNDS, BINS = 1 << 13, 25, 4096
-#: Relative error of the domain totals at which the gradient ends early.
-TOLERANCE = 1e-6
+#: Hashed features of the classifier, and bins of each level of the final rounding.
+FEATURES, BINS = 1 << 13, 4096
+#: The gradient ends when no domain total moves by this share of its target any more; after so many rounds it is given up with an error.
+TOLERANCE, MOST_ROUNDS = 1e-4, 400
 
 _WORD = re.compile(r"[^\W\d_]{2,24}")
 
@@ -106,8 +106,11 @@ def memberships(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, li
 
 
 def _rates(p: np.ndarray, start: np.ndarray, caps: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Document rates after all steps so far: each step moves along the gradient and is projected on [0, cap]."""
-    cap = p @ caps
+    """Document rates after all steps so far: each step moves along the gradient and is projected on [0, cap].
+
+    The cap of a document of several memberships is their mean, and never more than that of the source it most belongs to.
+    """
+    cap = np.minimum(p @ caps, np.where(p.sum(1) > 0, caps[p.argmax(1)], 0)) if len(caps) else np.zeros(len(p))
     r = np.clip(p @ start, 0, cap)
     for step in history:
         r = np.clip(r - p @ step, 0, cap)
@@ -117,11 +120,13 @@ def _rates(p: np.ndarray, start: np.ndarray, caps: np.ndarray, history: list[np.
 def fit_rates(members: DataFrame, goals: list[tuple], total: float | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """(start, steps, wanted totals, available tokens) of nonnegative rates whose expected totals per source match the targets.
 
-    Least squares over sources of the relative error, by projected gradient, preconditioned with the tokens at hand. Each round
-    sends one vector to the executors and takes one vector back; rates are a function of these vectors, so no state is kept.
+    Least squares over sources of the relative error, by projected gradient, preconditioned with the tokens at hand, until it stands
+    still; if it never does, an error says so. Rates are a function of the memberships and the steps, so documents of equal
+    memberships (all those of a known source) are one row of a table that is made once, and each round takes one vector back.
     total: tokens of the mix; by default the most that the repetition caps allow at the exact target shares.
     """
     k = len(goals)
+    classes = durable(members.where("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
     caps, share = np.array([g[2] for g in goals], float), np.array([g[1] for g in goals], float)
 
     def sums(f) -> np.ndarray:
@@ -133,7 +138,7 @@ def fit_rates(members: DataFrame, goals: list[tuple], total: float | None = None
                     acc += (f(p) * b.n_tokens.to_numpy()) @ p
             yield pd.DataFrame({"v": [acc.tolist()]})
 
-        parts = members.select("n_tokens", "p").mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("k", "v"))
+        parts = classes.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("k", "v"))
         out = np.zeros(k)
         for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
             out[r.k] = r.v
@@ -147,12 +152,16 @@ def fit_rates(members: DataFrame, goals: list[tuple], total: float | None = None
     y = goal * total
     start = np.where(able, y / np.where(able, have, 1), 0)
     steps: list[np.ndarray] = []
-    for _ in range(ROUNDS):
+    before = np.full(k, np.inf)
+    while able.any():
         s = sums(lambda p: _rates(p, start, caps, steps))
-        err = np.where(able, (s - y) / np.where(able, have, 1), 0)
-        if not able.any() or np.max(np.abs(np.where(able, (s - y) / np.where(y > 0, y, 1), 0))) < TOLERANCE:
+        moved = np.abs(s - before) / np.where(y > 0, y, 1)
+        if np.max(np.where(able, moved, 0)) < TOLERANCE:
             break
-        steps.append(err)
+        if len(steps) >= MOST_ROUNDS:
+            raise ArithmeticError(f"rates do not settle in {MOST_ROUNDS} rounds; totals still move by {np.max(moved):.2g} of their targets")
+        before = s
+        steps.append(np.where(able, (s - y) / np.where(able, have, 1), 0))
     return start, steps, y, have
 
 

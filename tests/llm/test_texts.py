@@ -110,3 +110,50 @@ def test_operator(spark):
 
 def test_line_keys_allow_small_variations():
     assert S.line_key("Loriboje Review Rccord    Rev. 3") == S.line_key("LORIBOJE REVIEW RECORD Rev. 12")
+
+
+LEARN = {
+    "en": "The scanner reads each folder once. A report names the owners of every module. Old snapshots are removed after thirty days. The team reviews large changes on Mondays. Cached results expire when the schema moves.",
+    "de": "Der Scanner liest jeden Ordner einmal. Ein Bericht nennt die Besitzer jedes Moduls. Alte Stände werden nach dreißig Tagen entfernt. Das Team prüft große Änderungen am Montag. Gemerkte Ergebnisse verfallen, wenn sich das Schema bewegt.",
+    "ru": "Сканер читает каждую папку один раз. Отчёт называет владельцев каждого модуля. Старые снимки удаляются через тридцать дней. Команда проверяет большие изменения по понедельникам. Сохранённые результаты устаревают, когда меняется схема.",
+}
+FRESH = {
+    "en": "Every module names its owners, and the report reads the folder after thirty days.",
+    "de": "Jedes Modul nennt seine Besitzer, und der Bericht liest den Ordner nach dreißig Tagen.",
+    "ru": "Каждый модуль называет владельцев, и отчёт читает папку через тридцать дней.",
+}
+FOREIGN = ["Якщо індекс відсутній, програма записує попередження у журнал і продовжує роботу без нього.", "Om indexet saknas skriver programmet en varning i loggen och fortsätter sedan utan det."]
+
+
+def test_fresh_sentences_and_languages_without_a_dictionary():
+    texts = {k: (v + "\n").encode() for k, v in LEARN.items()}
+    held = [(k, s + ".") for k, v in LEARN.items() for s in v.split(". ")[:2]] + [(k, v) for k, v in FRESH.items()]
+    m = L.Compression(texts, *L.calibrate(texts, held))
+    assert {k: m.classify(v)[0] for k, v in FRESH.items()} == {k: k for k in FRESH}
+    assert [m.classify(x)[0] for x in FOREIGN] == [None, None]
+    assert all(0 <= m.classify(x)[1] < 0.5 for x in FOREIGN) and all(m.classify(x)[1] > 0.5 for x in FRESH.values())
+
+
+def test_confusions_are_learned_and_fixes_joined(spark):
+    base = "harbour lantern journey capture monster picture furniture thunder winter orchard blanket merchant captain garden silver".split()
+    texts = [" ".join(base) for _ in range(60)] + [" ".join(w.replace("r", "z") for w in base)] + ["The harbouz and the thundez lanteZn."]
+    c = spark.createDataFrame([(f"d#{k}", "d", k, t) for k, t in enumerate(texts)], "id string, doc_id string, idx int, text string")
+    counts = S.word_counts(c)
+    assert ("z", "r") in S.learned_confusions(counts)
+    known, parts = S.fit(c, spark.createDataFrame([], "id string, kind string"))
+    words = spark.createDataFrame([("harbouz",), ("thundez",), ("Harbouz",), ("harbour",), ("zzz",)], "word string")
+    got = {r.word: r.fixed for r in S.word_fixes(words, known, spark.sparkContext.broadcast(parts)).collect()}
+    ed = S.Editor({r.word: r.n for r in known.collect()}, *parts)
+    assert got == {w: ed.word(w) for w in ("harbouz", "thundez", "Harbouz", "harbour", "zzz") if ed.word(w) != w}
+    assert got["harbouz"] == "harbour" and got["Harbouz"] == "Harbour" and "harbour" not in got
+
+
+def test_documents_keep_the_caps_of_their_source(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["alpha", "beta", "gamma"][k % 2 : k % 2 + 2], k=20)), None if k % 7 == 0 else "ab"[k % 2], "en", None, None) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, project string, path string")
+    t = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 5)], "source string, target_share double, max_repeats int")
+    mix, goals, _ = M.mixture(d, t)
+    caps = [g[2] for g in goals]
+    got = mix.collect()
+    assert all(r.repeats <= caps[max(range(2), key=lambda k: r.p[k])] for r in got if sum(r.p)) and max(r.repeats for r in got) > 1
