@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from codestrata.session import durable
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(node, component): the least node of each component, for every node that has an edge.
 
-    Alternating large-star and small-star contraction: logarithmically many rounds, each one aggregation per node with no
+    Alternating large-star and small-star contraction: logarithmically many rounds, until nothing changes, each one aggregation per node with no
     group collected; lineage is cut after each round. Self loops make a component of their own; null ends are passed over.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = durable(e.select("u").unionByName(e.select(F.col("v").alias("u"))).dropDuplicates())
     cur = durable(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).dropDuplicates())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").dropDuplicates()

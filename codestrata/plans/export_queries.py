@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codestrata.operators import exports as X, lines as L
-from codestrata.plans.bindings import Registry, edges, files, gfiles, sparse
+from codestrata.plans.bindings import Registry, edges, files, gfiles, links, nodes
 from codestrata.session import load
 from codestrata.sources import readers
 
@@ -148,14 +148,14 @@ def llm_status(spark, sf):
     return spark.createDataFrame([("none", False)], "backend string, usable boolean")
 
 
-@R.add("detect_impact", "SELECT source, count(DISTINCT target) n FROM sparse GROUP BY 1")
+@R.add("detect_impact", "SELECT source, count(DISTINCT target) n FROM links GROUP BY 1")
 def detect_impact(spark, sf):
     """Direct users of each file, the first step of an impact prompt."""
-    return sparse(spark, sf).groupBy("source").agg(F.countDistinct("target").alias("n"))
+    return links(spark, sf).groupBy("source").agg(F.countDistinct("target").alias("n"))
 
 
-@R.add("generate_map", "SELECT a.layer source_layer, b.layer target_layer, count(*) n FROM sparse JOIN gfiles a ON a.path = source JOIN gfiles b ON b.path = target GROUP BY 1, 2")
+@R.add("generate_map", "SELECT a.layer source_layer, b.layer target_layer, count(*) n FROM links JOIN nodes a ON a.path = source JOIN nodes b ON b.path = target GROUP BY 1, 2")
 def generate_map(spark, sf):
     """Layer-to-layer map."""
-    g = gfiles(spark, sf).select("path", "layer")
-    return sparse(spark, sf).join(g.select(F.col("path").alias("source"), F.col("layer").alias("source_layer")), "source").join(g.select(F.col("path").alias("target"), F.col("layer").alias("target_layer")), "target").groupBy("source_layer", "target_layer").agg(F.count("*").alias("n"))
+    g = nodes(spark, sf).select("path", "layer")
+    return links(spark, sf).join(g.select(F.col("path").alias("source"), F.col("layer").alias("source_layer")), "source").join(g.select(F.col("path").alias("target"), F.col("layer").alias("target_layer")), "target").groupBy("source_layer", "target_layer").agg(F.count("*").alias("n"))

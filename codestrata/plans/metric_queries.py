@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from codestrata.functions import scalar as S
 from codestrata.operators import metrics as M
 from codestrata.operators.graph import degrees
-from codestrata.plans.bindings import Registry, edges, files, functions, gfiles, sparse
+from codestrata.plans.bindings import Registry, edges, entities, files, functions, gfiles, links, relations
 from codestrata.session import load
 
 R = Registry()
@@ -129,10 +129,11 @@ def surprising_connections(spark, sf):
     return M.rare_connections(gfiles(spark, sf), edges(spark, sf))
 
 
-@R.add("knowledge_gaps", f"""WITH d AS (SELECT path, CAST(sum(i) AS BIGINT) fan_in, CAST(sum(o) AS BIGINT) fan_out FROM (SELECT source path, 1 o, 0 i FROM sparse UNION ALL SELECT target, 0, 1 FROM sparse) GROUP BY 1), g AS (SELECT gfiles.*, coalesce(fan_in, 0) fan_in, coalesce(fan_out, 0) fan_out FROM gfiles LEFT JOIN d USING (path))
+@R.add("knowledge_gaps", f"""WITH d AS (SELECT path, CAST(sum(i) AS BIGINT) fan_in, CAST(sum(o) AS BIGINT) fan_out FROM (SELECT source path, 1 o, 0 i FROM links UNION ALL SELECT target, 0, 1 FROM links) GROUP BY 1), e AS (SELECT lower(trim(id)) path, min(type) layer FROM entities WHERE type IS NOT NULL GROUP BY 1), g AS (SELECT e.*, coalesce(fan_in, 0) fan_in, coalesce(fan_out, 0) fan_out FROM e LEFT JOIN d USING (path))
  SELECT 'isolated' kind, path item FROM g WHERE fan_in + fan_out = 0 UNION ALL SELECT 'untested_hotspot', path FROM g WHERE fan_in > 5 UNION ALL SELECT 'weak_layer', layer FROM g GROUP BY layer HAVING count(*) < 3 AND sum(fan_out) > 5""")
 def knowledge_gaps(spark, sf):
-    return M.knowledge_gaps(gfiles(spark, sf), sparse(spark, sf))
+    e = entities(spark, sf).where("type is not null").groupBy(F.lower(F.btrim("id")).alias("path")).agg(F.min("type").alias("layer"))
+    return M.knowledge_gaps(e, links(spark, sf))
 
 
 @R.add("suggested_questions", f"""WITH {_DEG} (SELECT 1 ord, 'Why do ' || fan_in || ' edges lead to ' || path || '?' question FROM g ORDER BY fan_in DESC, path LIMIT 1) UNION ALL (SELECT 2, 'What makes ' || path || ' so complex?' FROM g ORDER BY complexity DESC, path LIMIT 1) UNION ALL (SELECT 3, 'Who changes ' || path || ' so often?' FROM g ORDER BY churn DESC, path LIMIT 1)""")
@@ -166,9 +167,15 @@ def contributors(spark, sf):
     return files(spark, sf).groupBy(F.coalesce("top_contributor", F.lit("unknown")).alias("owner")).agg(F.count("*").alias("n_files"), F.sum("churn").alias("churn"), F.sum("coupling_out").alias("impact"), F.count_if((F.col("contributor_count") == 1) & (F.col("churn") >= 5)).alias("bus_factor_files"))
 
 
-@R.add("confidence", "SELECT source, target, fn, \"count\", CASE WHEN EXISTS (SELECT 1 FROM sparse s WHERE s.source = e.source AND s.target = e.target) THEN CAST(1 AS DOUBLE) WHEN \"count\" >= 3 THEN 0.6 ELSE 0.4 END confidence FROM edges e")
+@R.add("confidence", """WITH c AS (SELECT source, target, n, CASE WHEN EXISTS (SELECT 1 FROM relations r WHERE r.src = source AND r.dst = target AND lower(trim(r.type)) = 'imports') THEN CAST(1 AS DOUBLE) WHEN n >= 3 THEN 0.6 ELSE 0.4 END confidence FROM links)
+ SELECT confidence, count(*) n_edges, round(100.0 * count(*) / (SELECT count(*) FROM c), 2) pct FROM c GROUP BY 1""")
 def confidence(spark, sf):
-    return M.confidence(gfiles(spark, sf), edges(spark, sf), sparse(spark, sf))
+    """How many edges have which confidence: explicit imports, frequent ones, others."""
+    e = links(spark, sf).withColumnRenamed("n", "count").withColumn("fn", F.lit(""))
+    i = relations(spark, sf).where(F.lower(F.btrim("type")) == "imports").select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    c = M.confidence(None, e, i).groupBy("confidence").agg(F.count("*").alias("n_edges"))
+    n = c.agg(F.sum("n_edges").alias("n"))
+    return c.join(F.broadcast(n), F.lit(True)).select("confidence", "n_edges", F.round(100.0 * F.col("n_edges") / F.col("n"), 2).alias("pct"))
 
 
 @R.add("pr_comment", "SELECT target, count(*) n FROM edges WHERE source IN (SELECT path FROM gfiles WHERE layer = 'ASIA') AND target NOT IN (SELECT path FROM gfiles WHERE layer = 'ASIA') GROUP BY 1 ORDER BY n DESC, target LIMIT 10")

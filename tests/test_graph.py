@@ -108,3 +108,81 @@ def test_dead_functions_and_confidence(spark):
     e = edges(spark, [("p/a", "p/b")]).unionByName(edges(spark, [("p/a", "q/c")], 5)).unionByName(edges(spark, [("p/a", "q/d")]))
     got = {r.target: r.confidence for r in M.confidence(None, e, edges(spark, [("p/a", "q/d")])).collect()}
     assert got == {"p/b": 0.8, "q/c": 0.6, "q/d": 1.0}
+
+
+def test_long_chains_have_no_bound(spark):
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(13)]
+    e = edges(spark, chain)
+    assert G.shortest_path(e, "n000", "n013").first().length == 13
+    assert G.reach(e, spark.createDataFrame([("n000",)], "node string")).count() == 14
+    assert {r.phase for r in G.topological_phases(e).collect()} == set(range(14))
+    ring = edges(spark, [*chain, ("n013", "n000"), ("x", "n000"), ("n005", "y")])
+    assert [tuple(r) for r in G.cycle_sets(ring).select("component", "n_nodes", "n_edges", "length").collect()] == [("n000", 14, 14, 14)]
+    assert G.cycle_sets(e).count() == 0
+
+
+def test_strong_components_and_betweenness_against_brute_force(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(55)})
+    adj = {}
+    for a, b in pairs:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+    nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
+
+    def levels(s):
+        dist, ways, front = {s: 0}, {s: 1.0}, [s]
+        while front:
+            nxt = []
+            for x in front:
+                for y in adj.get(x, ()):
+                    if y not in dist:
+                        dist[y], ways[y] = dist[x] + 1, 0.0
+                        nxt.append(y)
+                    if dist[y] == dist[x] + 1:
+                        ways[y] += ways[x]
+            front = nxt
+        return dist, ways
+
+    all_ = {s: levels(s) for s in nodes}
+    mutual = {}
+    for a in nodes:
+        own = frozenset(b for b in nodes if b in all_[a][0] and a in all_[b][0])
+        if len(own) > 1:
+            mutual[a] = own
+    e = edges(spark, pairs)
+    got = {}
+    for r in G.strong_components(e).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(v) for v in got.values()} == set(mutual.values())
+    n, want = len(nodes), dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        d, w = all_[s]
+        for t in d:
+            for v in d:
+                if v not in (s, t) and t in all_[v][0] and d[v] + all_[v][0][t] == d[t]:
+                    want[v] += w[v] * all_[v][1][t] / w[t]
+    got = {r.path: r.betweenness for r in G.betweenness(e).collect()}
+    assert got == {v: pytest.approx(x / ((n - 1) * (n - 2)), abs=2e-6) for v, x in want.items() if x / ((n - 1) * (n - 2)) >= 5e-7}
+
+
+def test_paths_that_avoid_gates(spark):
+    e = edges(spark, [("in", "gate"), ("gate", "out"), ("in", "a"), ("a", "b"), ("b", "out"), ("a", "out"), ("b", "a"), ("c", "out"), ("in", "dead")])
+    assert [tuple(r) for r in G.avoiding_paths(e, ["in"], ["out"], ["gate"]).collect()] == [("in -> a -> out", 2), ("in -> a -> b -> out", 3)]
+    assert G.avoiding_paths(e, ["in"], ["gate"], ["gate"]).count() == 0
+
+
+def test_numbers_in_order(spark):
+    rows = [(k * 37 % 101, f"x{k % 7}") for k in range(101)]
+    got = G.numbered(spark.createDataFrame(rows, "a int, b string"), ["a", "b"]).collect()
+    assert [r.step for r in sorted(got, key=lambda r: (r.a, r.b))] == list(range(1, 102))
+
+
+def test_communities_raise_modularity(spark):
+    rng = random.Random(2)
+    pairs = [(f"{g}{a}", f"{g}{b}") for g in "pqrs" for a in range(12) for b in range(12) if a < b and rng.random() < 0.5] + [(f"{rng.choice('pqrs')}{rng.randrange(12)}", f"{rng.choice('pqrs')}{rng.randrange(12)}") for _ in range(12)]
+    e = edges(spark, pairs)
+    c = G.communities(e)
+    assert G.modularity(e, c).first().modularity > 0.5
+    assert G.cohesion(e, c).agg({"cohesion": "min"}).first()[0] > 0.5
+    assert G.communities(e.limit(0)).count() == 0
