@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -474,13 +475,20 @@ def word_fixes(words: DataFrame, known: DataFrame, model) -> DataFrame:
     return done.select("word", F.col("form").alias("fixed"))
 
 
-def looked_up(text: str, table: dict) -> tuple[set[str], set[str]]:
+@lru_cache(maxsize=1 << 18)
+def _editable(word: str, reads: tuple) -> bool:
+    """Whether any operation is possible in a word."""
+    low = word.lower()
+    return len(word) > 1 and any(x in low for x in reads)
+
+
+def looked_up(text: str, reads: tuple) -> tuple[set[str], set[str]]:
     """The words of a text that may be misread, broken ones put together, and the words at its line breaks, in small letters."""
     body = "\n".join(_lines(text))
     ends = {x.lower() for m in _BREAK.finditer(body) for x in (m[1], m[3], m[1] + m[3])}
     whole = _BREAK.sub(lambda m: m[1] + m[3], body)
     words = {w for t in (body, whole) for w in _WORD.findall(t)}
-    return {w for w in words if len(w) > 1 and edits(w, table)}, ends
+    return {w for w in words if _editable(w, reads)}, ends
 
 
 def repeated_edges(chunks: DataFrame) -> DataFrame:
@@ -505,8 +513,10 @@ def repaired_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     known, parts = fit(chunks, docs)
     model = chunks.sparkSession.sparkContext.broadcast(parts)  # weights, trigrams and pairs of characters; no list of words
 
+    reads = tuple(sorted({read for read, _ in parts[4]}))
+
     def needs(r: dict) -> list[tuple]:
-        return [(r["id"], w, k) for k, ws in enumerate(looked_up(r["text"], by_first(model.value[4]))) for w in ws]
+        return [(r["id"], w, k) for k, ws in enumerate(looked_up(r["text"], reads)) for w in ws]
 
     need = durable(map_rows(c.where("text is not null").select("id", "text"), "id string, word string, at_end int", needs))
     fixes = durable(word_fixes(need.where("at_end = 0").select("word").dropDuplicates(), known, model))
