@@ -7,23 +7,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codestrata.functions import scalar as S
 from codestrata.operators.graph import degrees
 
-# Openings and endings, node and edge templates of the formats; %s is the escaped name.
+# The elements of the formats: opening, node, what stands between nodes and edges, edge, ending. %1$s is a name (of a
+# node, or an edge's source) as an id, %2$s the node's label or the edge's target, %3$s the count, %4$s the edge's own id; at the end of a
+# list's items (%3$s of a node, %5$s of an edge) the comma that all but the last have.
 FORMATS = {
-    "dot": ("digraph G {", '  "%s" [label="%s"];', '  "%s" -> "%s" [label="%s"];', "}"),
-    "mermaid": ("graph LR", '  %s["%s"]', "  %s -->|%3$s| %2$s", ""),
-    "d2": ("direction: right", '"%s": "%s"', '"%s" -> "%s": %s', ""),
-    "plantuml": ("@startuml", 'component "%s" as %s', '"%s" --> "%s" : %s', "@enduml"),
-    "cypher": ("// nodes and edges", "CREATE (:File {id: \"%s\", name: \"%s\"});", "MATCH (a:File {id: \"%s\"}), (b:File {id: \"%s\"}) CREATE (a)-[:CALLS {count: %s}]->(b);", ""),
-    "graphml": ('<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">', '<node id="%s"><data key="label">%s</data></node>', '<edge source="%s" target="%s"><data key="count">%s</data></edge>', "</graph></graphml>"),
-    "gexf": ('<gexf xmlns="http://www.gexf.net/1.3" version="1.3"><graph defaultedgetype="directed">', '<node id="%s" label="%s"/>', '<edge source="%s" target="%s" weight="%s"/>', "</graph></gexf>"),
-    "dgml": ('<DirectedGraph xmlns="http://schemas.microsoft.com/vs/2009/dgml">', '<Node Id="%s" Label="%s"/>', '<Link Source="%s" Target="%s" Label="%s"/>', "</DirectedGraph>"),
-    "drawio": ("<mxfile><diagram><mxGraphModel><root>", '<mxCell id="%s" value="%s" vertex="1"/>', '<mxCell source="%s" target="%s" value="%s" edge="1"/>', "</root></mxGraphModel></diagram></mxfile>"),
-    "obsidian": ('{"nodes":[', '{"id":"%s","type":"text","text":"%s"}', '{"fromNode":"%s","toNode":"%s","label":"%s"}', "]}"),
+    "dot": ("digraph G {", '  "%1$s" [label="%2$s"];', "", '  "%1$s" -> "%2$s" [label="%3$s"];', "}"),
+    "mermaid": ("graph LR", '  %1$s["%2$s"]', "", "  %1$s -->|%3$s| %2$s", ""),
+    "d2": ("direction: right", '"%1$s": "%2$s"', "", '"%1$s" -> "%2$s": %3$s', ""),
+    "plantuml": ("@startuml", 'component "%2$s" as %1$s', "", "%1$s --> %2$s : %3$s", "@enduml"),
+    "cypher": ("// nodes and edges", 'CREATE (:File {id: "%1$s", name: "%2$s"});', "", 'MATCH (a:File {id: "%1$s"}), (b:File {id: "%2$s"}) CREATE (a)-[:CALLS {count: %3$s}]->(b);', ""),
+    "graphml": (
+        '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="count" for="edge" attr.name="count" attr.type="long"/><graph edgedefault="directed">',
+        '<node id="%1$s"><data key="label">%2$s</data></node>', "", '<edge source="%1$s" target="%2$s"><data key="count">%3$s</data></edge>', "</graph></graphml>",
+    ),
+    "gexf": ('<gexf xmlns="http://www.gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>', '<node id="%1$s" label="%2$s"/>', "</nodes><edges>", '<edge id="%4$s" source="%1$s" target="%2$s" weight="%3$s"/>', "</edges></graph></gexf>"),
+    "dgml": ('<DirectedGraph xmlns="http://schemas.microsoft.com/vs/2009/dgml"><Nodes>', '<Node Id="%1$s" Label="%2$s"/>', "</Nodes><Links>", '<Link Source="%1$s" Target="%2$s" Label="%3$s"/>', "</Links></DirectedGraph>"),
+    "drawio": (
+        '<mxfile><diagram><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>', '<mxCell id="n:%1$s" value="%2$s" vertex="1" parent="1"><mxGeometry width="160" height="40" as="geometry"/></mxCell>', "",
+        '<mxCell id="%4$s" source="n:%1$s" target="n:%2$s" value="%3$s" edge="1" parent="1"><mxGeometry relative="1" as="geometry"/></mxCell>', "</root></mxGraphModel></diagram></mxfile>",
+    ),
+    "obsidian": ('{"nodes":[', '{"id":"%1$s","type":"text","text":"%2$s","x":0,"y":0,"width":240,"height":60}%3$s', '],"edges":[', '{"id":"%4$s","fromNode":"%1$s","toNode":"%2$s","label":"%3$s"}%5$s', "]}"),
 }
 _XML = {"graphml", "gexf", "dgml", "drawio"}
 
 
-def _escape(fmt: str, c: Column) -> Column:
+def _label(fmt: str, c: Column) -> Column:
+    """A name as text in the format."""
     if fmt in _XML:
         return S.xml_text(c)
     if fmt == "mermaid":
@@ -31,6 +40,13 @@ def _escape(fmt: str, c: Column) -> Column:
     return S.quoted(c)
 
 
+def _id(fmt: str, c: Column) -> Column:
+    """A name as an id in the format; where ids must be plain words, other signs give way, and a digest keeps names apart."""
+    if fmt in ("mermaid", "plantuml"):
+        return F.concat(F.regexp_replace(c, r"[^A-Za-z0-9_]", "_"), F.lit("_"), F.left(F.md5(c.cast("binary")), F.lit(8)))
+    return _label(fmt, c)
+
+
 def top_nodes(edges: DataFrame, max_nodes: int | None) -> DataFrame:
     """The most connected nodes, ties to the lesser name."""
     d = degrees(edges).select("path", "total")
@@ -38,8 +54,8 @@ def top_nodes(edges: DataFrame, max_nodes: int | None) -> DataFrame:
 
 
 def export_graph(edges: DataFrame, fmt: str, max_nodes: int | None = None) -> DataFrame:
-    """(ord, line) of a graph in one of FORMATS: head, nodes, edges between kept nodes with summed counts, tail."""
-    head, node, edge, tail = FORMATS[fmt]
+    """(ord, line) of a graph in one of FORMATS: head, nodes, what parts them from the edges, edges between kept nodes with summed counts, tail."""
+    head, node, between, edge, tail = FORMATS[fmt]
     spark = edges.sparkSession
     keep = top_nodes(edges, max_nodes)
     e = edges.groupBy("source", "target").agg(F.sum("count").alias("n"))
@@ -47,11 +63,17 @@ def export_graph(edges: DataFrame, fmt: str, max_nodes: int | None = None) -> Da
         k = F.broadcast(keep)  # at most max_nodes rows
         e = e.join(k.withColumnRenamed("path", "source"), "source", "left_semi").join(k.withColumnRenamed("path", "target"), "target", "left_semi")
     one = lambda o, text: spark.createDataFrame([(o, text)], "ord int, line string")
-    x = lambda c: _escape(fmt, F.col(c))
-    nodes = keep.select(F.lit(1).alias("ord"), F.format_string(node, x("path"), x("path")).alias("line"))
-    links = e.select(F.lit(2).alias("ord"), F.format_string(edge, x("source"), x("target"), F.col("n").cast("string")).alias("line"))
+    comma = lambda is_last: F.when(is_last, "").otherwise(",")
+    k = keep.select(_id(fmt, F.col("path")).alias("i"), _label(fmt, F.col("path")).alias("l"))
+    k = k.join(F.broadcast(k.agg(F.max("i").alias("top"))), F.lit(True))
+    nodes = k.select(F.lit(1).alias("ord"), F.format_string(node, "i", "l", comma(F.col("i") == F.col("top"))).alias("line"))
+    own = F.left(F.md5(F.concat_ws("\0", "source", "target").cast("binary")), F.lit(16))
+    e = e.select(_id(fmt, F.col("source")).alias("s"), _id(fmt, F.col("target")).alias("t"), F.col("n").cast("string").alias("n"), own.alias("own"))
+    e = e.join(F.broadcast(e.agg(F.max("own").alias("top"))), F.lit(True))
+    links = e.select(F.lit(3).alias("ord"), F.format_string(edge, "s", "t", "n", "own", comma(F.col("own") == F.col("top"))).alias("line"))
     out = one(0, head).unionByName(nodes).unionByName(links)
-    return out.unionByName(one(3, tail)) if tail else out
+    out = out.unionByName(one(2, between)) if between else out
+    return out.unionByName(one(4, tail)) if tail else out
 
 
 def export_csv(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 # Patterns by scanner, as (tag, expression); group 1 is the name that is found.
 ENV_READS = [
     ("node", r"process\.env\.([A-Z_][A-Z0-9_]+)"), ("getenv", r"os\.getenv\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("environ", r"os\.environ(?:\.get)?\[['\"]([A-Z_][A-Z0-9_]+)['\"]\]"),
-    ("environ_get", r"os\.environ\.get\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("getenv_any", r"(?i:getenv)\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("config", r"config\.get\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("ruby", r"ENV\[['\"]([A-Z_][A-Z0-9_]+)['\"]\]"),
+    ("environ_get", r"os\.environ\.get\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("getenv_any", r"getenv\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("config", r"config\.get\(['\"]([A-Z_][A-Z0-9_]+)['\"]\)"), ("ruby", r"ENV\[['\"]([A-Z_][A-Z0-9_]+)['\"]\]"),
 ]
 EVENT_EMITS = [
     ("emit", r"\.emit\(['\"]([^'\"]+)['\"]"), ("dispatch_event", r"dispatchEvent\(new\s+\w*Event\(['\"]([^'\"]+)['\"]"), ("dispatch", r"dispatch\(\s*\{[^}]*type:\s*['\"]([^'\"]+)['\"]"),
@@ -64,7 +64,8 @@ def explode_lines(files: DataFrame, keys: list[str]) -> DataFrame:
 def scan(files: DataFrame, keys: list[str], library: list[tuple[str, str]]) -> DataFrame:
     """(keys, line_no, tag, name) of every match of every pattern: one pass over the lines, in generated code.
 
-    A whole text that matches no pattern is dropped before its lines are exploded.
+    A whole text that matches no pattern is dropped before its lines are exploded. A text given twice (by the first key) gives its
+    finds once: these are compared, so no text is shuffled.
     """
     any_ = "|".join(f"(?:{p})" for _, p in library)
     lines = explode_lines(files.where(F.col("content").rlike(f"(?m){any_}")), keys)
@@ -73,7 +74,8 @@ def scan(files: DataFrame, keys: list[str], library: list[tuple[str, str]]) -> D
         return F.transform(F.regexp_extract_all("line", F.lit(pattern), 1), lambda m: F.struct(F.lit(tag).alias("tag"), m.alias("name")))
 
     hits = F.concat(*[tagged(t, p) for t, p in library])
-    return lines.select(*keys, "line_no", F.explode(hits).alias("h")).select(*keys, "line_no", "h.tag", "h.name")
+    found = lines.select(*keys, "line_no", F.posexplode(hits).alias("_at", "h")).select(*keys, "line_no", "_at", "h.tag", "h.name")
+    return found.dropDuplicates([keys[0], "line_no", "_at"]).drop("_at")
 
 
 def scan_sql(library: list[tuple[str, str]], keys: str = "file_id, repo_id, path", table: str = "files") -> str:

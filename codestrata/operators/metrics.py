@@ -43,6 +43,34 @@ def stale(files: DataFrame, edges: DataFrame, min_fan_in: int = 1) -> DataFrame:
     return j.select("path", "fan_in", "churn", S.round_half_up(score).alias("score"))
 
 
+def stale_files(files: DataFrame, everything: DataFrame, min_fan_in: int = 1) -> DataFrame:
+    """As `stale`, for files with their fan-in and repository: the part for tests is given only where no test file's name holds a word (of three signs and more) of the file's stem."""
+    word = F.explode(F.split(F.regexp_replace(F.lower(F.regexp_replace("path", r"^.*/", "")), r"[^a-z0-9]+", " "), " "))
+    tests = files.where(S.is_test(F.col("path"))).select("repo_id", word.alias("w")).dropDuplicates().withColumn("hit", F.lit(1))
+    f = files.where((F.col("fan_in") >= min_fan_in) & F.coalesce("is_code", F.lit(False)) & ~S.is_test(F.col("path")))
+    own = f.select("file_id", "repo_id", F.explode(F.split(F.regexp_replace(F.lower(S.stem(F.col("path"))), r"[^a-z0-9]+", " "), " ")).alias("w")).where(F.length("w") >= 3)
+    tested = own.join(tests, ["repo_id", "w"]).select("file_id").dropDuplicates().withColumn("tested", F.lit(True))
+    top = everything.where(~S.is_test(F.col("path"))).agg(_top("churn"))
+    j = f.join(tested, "file_id", "left").join(F.broadcast(top), F.lit(True)).withColumn("tested", F.coalesce("tested", F.lit(False)))
+    w = STALE_WEIGHTS
+    score = 100 * (w["churn"] * (1 - F.col("churn") / F.col("top_churn")) + w["fan_in"] * F.least(F.col("fan_in") / 20.0, F.lit(1.0)) + F.when(F.col("tested"), 0.0).otherwise(w["tests"]))
+    return j.withColumn("score", S.round_half_up(score))
+
+
+def change_risk(files: DataFrame, violating: DataFrame) -> DataFrame:
+    """(change_set, score, level) from files with fan_in, complexity, churn and the change set they belong to; violating: (path) with a layer violation.
+
+    Blast radius is 500 times the set's fan-in over all files; complexity weighs five times its mean, a violation 20; each part ends at 100.
+    """
+    n = files.agg(F.count("*").alias("n_all"))
+    v = violating.select("path").dropDuplicates().withColumn("bad", F.lit(1))
+    c = files.join(v, "path", "left").groupBy("change_set").agg(F.sum("fan_in").alias("f"), F.avg("complexity").alias("x"), F.avg("churn").alias("h"), F.count("bad").alias("v")).join(F.broadcast(n), F.lit(True))
+    w, cap = RISK_WEIGHTS, F.lit(100)
+    score = w["blast"] * F.least(cap, S.round_half_up(500.0 * F.col("f") / F.col("n_all"))) + w["complexity"] * F.least(cap, 5 * F.col("x")) + w["churn"] * F.least(cap, F.col("h")) + w["violations"] * F.least(cap, 20 * F.col("v"))
+    s = F.round(score, 4)
+    return c.select("change_set", s.alias("score"), F.when(s <= 33, "low").when(s <= 66, "medium").otherwise("high").alias("level"))
+
+
 def layer_violations(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges from a foundation layer to one more than a step above it."""
     lv = files.select("path", "layer").withColumn("level", S.layer_level(F.col("layer"))).where("level is not null")
@@ -117,6 +145,8 @@ def call_edges(files: DataFrame, functions: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("repo_id", "name").orderBy("fn_id")
     defs = functions.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("repo_id", F.col("name").alias("fn"), F.col("file").alias("source"))
-    called = files.where("is_code and content is not null").select("repo_id", F.col("path").alias("target"), F.explode(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1)).alias("fn"))
+    names = F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1)
+    # Of a file given twice the names are compared, not the texts.
+    called = files.where("is_code and content is not null").select("repo_id", F.col("path").alias("target"), names.alias("fns")).dropDuplicates(["repo_id", "target"]).select("repo_id", "target", F.explode("fns").alias("fn"))
     called = called.groupBy("repo_id", "target", "fn").agg(F.count("*").alias("count"))
     return called.join(defs, ["repo_id", "fn"]).where("source <> target").select("repo_id", "source", "target", "fn", "count")

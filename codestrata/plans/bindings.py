@@ -13,6 +13,25 @@ def files(spark, sf) -> DataFrame:
     return f.dropDuplicates(["file_id"]).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lines", "complexity", "churn", "coupling_in", "coupling_out")}).withColumn("layer", F.coalesce("layer", F.lit("unknown")))
 
 
+def contents(spark, sf) -> DataFrame:
+    """Files with their text as they stand; what comes of a text, not the text itself, is freed of repeated rows afterwards, so no text is shuffled."""
+    f = load(spark, sf, "file_records").select("file_id", "repo_id", "path", "content", "layer", "is_code", "imports", "language")
+    return f.withColumn("layer", F.coalesce("layer", F.lit("unknown")))
+
+
+#: The times at which two states are compared.
+OLD_STATE, NEW_STATE = "2024-10-01 00:00:00", "2025-12-31 00:00:00"
+
+
+def symbols(spark, sf, at: str) -> DataFrame:
+    """The symbols that were there at a time: (repo_id, file, name, sig) of the entities with a row loaded by then and not deleted by then."""
+    e = load(spark, sf, "kg_entities").select("id", "type", "doc_id", "mentions", F.col("loaded_at").cast("timestamp_ntz").alias("s"), F.col("deleted_at").cast("timestamp_ntz").alias("e"))
+    t = F.lit(at).cast("timestamp_ntz")
+    e = e.where((F.col("s") <= t) & (F.col("e").isNull() | (F.col("e") > t)))
+    by = [F.coalesce(F.regexp_replace(F.lower("type"), "[^a-z]+", ""), F.lit("none")).alias("repo_id"), F.coalesce("doc_id", F.lit("-")).alias("file"), F.lower(F.btrim("id")).alias("name")]
+    return e.groupBy(*by).agg(F.max("mentions").alias("sig"))
+
+
 def functions(spark, sf) -> DataFrame:
     return load(spark, sf, "fn_defs").dropDuplicates(["fn_id"])
 
@@ -101,6 +120,8 @@ entities AS (SELECT id, name, type, doc_id, method, mentions FROM (SELECT *, row
 links AS (SELECT src source, dst target, count(*) n FROM relations WHERE src <> dst GROUP BY ALL),
 tops AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) k FROM links GROUP BY 1),
 nodes AS (SELECT path, coalesce(type, 'unknown') layer FROM (SELECT source path FROM links UNION SELECT target FROM links) LEFT JOIN (SELECT lower(trim(id)) path, min(type) type FROM entities GROUP BY 1) USING (path)),
+symbols_old AS (SELECT coalesce(regexp_replace(lower(type), '[^a-z]+', '', 'g'), 'none') repo_id, coalesce(doc_id, '-') file, lower(trim(id)) name, max(mentions) sig FROM kg_entities WHERE loaded_at <= TIMESTAMP '2024-10-01' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '2024-10-01') GROUP BY ALL),
+symbols_new AS (SELECT coalesce(regexp_replace(lower(type), '[^a-z]+', '', 'g'), 'none') repo_id, coalesce(doc_id, '-') file, lower(trim(id)) name, max(mentions) sig FROM kg_entities WHERE loaded_at <= TIMESTAMP '2025-12-31' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '2025-12-31') GROUP BY ALL),
 chunks AS (SELECT DISTINCT ON (id) id, doc_id, idx, text FROM kg_chunks),
 traces AS (SELECT event_id, ts, user_id, event_type caller, callee, value ms FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) callee FROM events) WHERE callee IS NOT NULL)
 """

@@ -1,4 +1,4 @@
-"""Two-input operators, with SQL. The old state is what was indexed before a cut, the new one what was indexed after it."""
+"""Two-input operators, with SQL. The states are those of whole tables at two times, or of the first and the last snapshot."""
 
 from __future__ import annotations
 
@@ -6,20 +6,18 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import scalar as S
 from codestrata.operators import diffs as D
-from codestrata.plans.bindings import Registry, edges, files, functions
+from codestrata.plans.bindings import NEW_STATE, OLD_STATE, Registry, edges, files, functions, relations, symbols
 from codestrata.session import load
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
-_OLD, _NEW = "fn_id % 3 <> 0", "fn_id % 3 <> 1"
-_AB = f"o AS (SELECT DISTINCT repo_id, file, name FROM functions WHERE is_exported AND {_OLD}), n AS (SELECT DISTINCT repo_id, file, name FROM functions WHERE is_exported AND {_NEW})"
+_AB = "o AS (SELECT repo_id, file, name FROM symbols_old), n AS (SELECT repo_id, file, name FROM symbols_new)"
 
 
 def _two(spark, sf):
-    """Two versions of the exported functions; every row belongs to at least one."""
-    f = functions(spark, sf).where("is_exported")
+    """The symbols at two times, whole tables both."""
     k = ["repo_id", "file", "name"]
-    return f.where(_OLD).select(*k).dropDuplicates(), f.where(_NEW).select(*k).dropDuplicates(), k
+    return symbols(spark, sf, OLD_STATE).select(*k), symbols(spark, sf, NEW_STATE).select(*k), k
 
 
 @R.add("diff", f"WITH {_AB} SELECT *, 'added' change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
@@ -28,12 +26,14 @@ def diff(spark, sf):
     return D.added_removed(o, n, k)
 
 
-@R.add("api_diff", f"WITH {_AB}, c AS (SELECT repo_id, name, count(*) n_defs FROM functions GROUP BY 1, 2), d AS (SELECT *, 'critical' severity FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT *, 'info' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)) SELECT d.*, n_defs FROM d JOIN c USING (repo_id, name)")
+@R.add("api_diff", """WITH c AS (SELECT dst name, count(*) n_callers FROM relations GROUP BY 1), d AS (SELECT coalesce(o.repo_id, n.repo_id) repo_id, coalesce(o.file, n.file) file, coalesce(o.name, n.name) name, CASE WHEN n.name IS NULL THEN 'critical' WHEN o.name IS NULL THEN 'info' ELSE 'high' END severity
+   FROM symbols_old o FULL JOIN symbols_new n ON o.repo_id = n.repo_id AND o.file = n.file AND o.name = n.name WHERE o.name IS NULL OR n.name IS NULL OR o.sig IS DISTINCT FROM n.sig) SELECT d.*, coalesce(n_callers, 0) n_callers FROM d LEFT JOIN c USING (name)""")
 def api_diff(spark, sf):
-    o, n, k = _two(spark, sf)
-    d = D.added_removed(o, n, k)
-    c = functions(spark, sf).groupBy("repo_id", "name").agg(F.count("*").alias("n_defs"))
-    return d.join(c, ["repo_id", "name"]).select(*k, F.when(F.col("change") == "removed", "critical").otherwise("info").alias("severity"), "n_defs")
+    """Removed symbols (critical), changed signatures (high) and added ones (info), with their callers."""
+    k = ["repo_id", "file", "name"]
+    d = D.api_changes(symbols(spark, sf, OLD_STATE), symbols(spark, sf, NEW_STATE), k, "sig")
+    c = relations(spark, sf).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n_callers"))
+    return d.join(c, "name", "left").select(*k, "severity", F.coalesce("n_callers", F.lit(0).cast("long")).alias("n_callers"))
 
 
 _RATE = "WITH {ab}, u AS (SELECT coalesce(o.repo_id, n.repo_id) repo_id, o.name a, n.name b FROM o FULL JOIN n ON o.repo_id = n.repo_id AND o.file = n.file AND o.name = n.name) "
@@ -63,11 +63,18 @@ def semver(spark, sf):
     return u.groupBy("repo_id").agg(D.semver_verdict(F.count_if(F.col("b").isNull()), F.count_if(F.col("a").isNull()), F.lit("minor")).alias("verdict"))
 
 
-@R.add("fork_diff", "WITH o AS (SELECT path, max(\"lines\") v FROM files WHERE file_id % 2 = 0 GROUP BY 1), n AS (SELECT path, max(\"lines\") v FROM files WHERE file_id % 3 > 0 GROUP BY 1) SELECT coalesce(o.path, n.path) path, CASE WHEN o.path IS NULL THEN 'only_new' WHEN n.path IS NULL THEN 'only_old' WHEN o.v = n.v THEN 'identical' ELSE 'diverged' END state FROM o FULL JOIN n ON o.path = n.path")
+_FORKS = """r AS (SELECT repo_id, row_number() OVER (ORDER BY count(DISTINCT path) DESC, repo_id) k FROM files GROUP BY 1), fc AS (SELECT repo_id, file path, count(*) v FROM functions GROUP BY 1, 2),
+ v AS (SELECT DISTINCT k, f.path, coalesce(v, 0) v FROM files f JOIN r ON r.repo_id = f.repo_id LEFT JOIN fc ON fc.repo_id = f.repo_id AND fc.path = f.path WHERE k <= 2)"""
+
+
+@R.add("fork_diff", f"WITH {_FORKS} SELECT coalesce(o.path, n.path) path, CASE WHEN o.path IS NULL THEN 'only_new' WHEN n.path IS NULL THEN 'only_old' WHEN o.v = n.v THEN 'identical' ELSE 'diverged' END state FROM (SELECT * FROM v WHERE k = 1) o FULL JOIN (SELECT * FROM v WHERE k = 2) n ON o.path = n.path")
 def fork_diff(spark, sf):
-    f = files(spark, sf)
-    one = lambda d: d.groupBy("path").agg(F.max("lines").alias("v"))
-    return D.states(one(f.where("file_id % 2 = 0")), one(f.where("file_id % 3 > 0")), ["path"], "v")
+    """The two repositories of most files against each other; files of one path diverge if their numbers of functions differ."""
+    f = files(spark, sf).select("repo_id", "path").dropDuplicates()
+    two = [r.repo_id for r in f.groupBy("repo_id").agg(F.count("path").alias("n")).orderBy(F.desc("n"), "repo_id").limit(2).collect()]
+    n = functions(spark, sf).groupBy("repo_id", F.col("file").alias("path")).agg(F.count("*").alias("v"))
+    one = lambda k: f.where(F.col("repo_id") == F.lit(two[k] if len(two) > k else None)).join(n, ["repo_id", "path"], "left").select("path", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return D.states(one(0), one(1), ["path"], "v")
 
 
 @R.add("cross_repo", "SELECT 'name' kind, name item, count(DISTINCT repo_id) n_repos FROM functions WHERE length(name) > 3 GROUP BY 1, 2 HAVING count(DISTINCT repo_id) > 1 UNION ALL SELECT 'layer', layer, count(DISTINCT repo_id) FROM files GROUP BY 1, 2 HAVING count(DISTINCT repo_id) > 1")
@@ -88,28 +95,26 @@ def run_diff(spark, sf):
     return a.join(b, "key", "full_outer").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
-@R.add("arch_diff", "WITH o AS (SELECT repo_id, path, min(health_grade) g FROM files WHERE file_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT path, max(health_grade) g FROM files GROUP BY 1) SELECT o.repo_id, o.path, o.g old_grade, n.g new_grade FROM o JOIN n USING (path) WHERE list_position(['A', 'B', 'C', 'D', 'F'], n.g) > list_position(['A', 'B', 'C', 'D', 'F'], o.g)")
-def arch_diff(spark, sf):
-    f = files(spark, sf)
-    o = f.where("file_id % 2 = 0").groupBy("repo_id", "path").agg(F.min("health_grade").alias("old_grade"))
-    n = f.groupBy("path").agg(F.max("health_grade").alias("new_grade"))
-    return o.join(n, "path").where(D.grade_worse(F.col("old_grade"), F.col("new_grade"))).select("repo_id", "path", "old_grade", "new_grade")
+_SNAPS = """sn AS (SELECT repo_id, id, created_at, data->>'$.healthGrade' grade, TRY_CAST(data->>'$.healthScore' AS DOUBLE) health, TRY_CAST(data->>'$.circularDepCount' AS BIGINT) cycles FROM (SELECT DISTINCT repo_id, id, created_at, data FROM snapshots WHERE json_valid(data) AND json_type(data) = 'OBJECT'))"""
 
 
-@R.add("diff_snapshots", r"""WITH s AS (SELECT DISTINCT repo_id, id, created_at, data FROM snapshots WHERE json_valid(data) AND json_type(data) = 'OBJECT'), k AS (SELECT repo_id, id, created_at, TRY_CAST(data->>'$.healthScore' AS DOUBLE) health, TRY_CAST(data->>'$.circularDepCount' AS BIGINT) cycles FROM s),
- w AS (SELECT *, health - lag(health) OVER (PARTITION BY repo_id ORDER BY created_at, id) dh, cycles - lag(cycles) OVER (PARTITION BY repo_id ORDER BY created_at, id) dc FROM k)
- SELECT repo_id, id snapshot_id, dh health_delta, dc cycles_delta, CASE WHEN dh <= -20 OR dc >= 5 THEN 'CRITICAL' WHEN dh <= -5 OR dc >= 1 THEN 'DEGRADED' ELSE 'STABLE' END drift FROM w WHERE dh IS NOT NULL""")
-def diff_snapshots(spark, sf):
-    """Drift between consecutive readable snapshots."""
-    from pyspark.sql import Window as W
+@R.add("arch_diff", f"""WITH {_SNAPS}, e AS (SELECT repo_id, first(grade ORDER BY created_at, id) old_grade, last(grade ORDER BY created_at, id) new_grade, last(health ORDER BY created_at, id) - first(health ORDER BY created_at, id) health_delta FROM sn WHERE grade IS NOT NULL AND health IS NOT NULL GROUP BY 1)
+ SELECT * FROM e WHERE list_position(['A', 'B', 'C', 'D', 'F'], new_grade) > list_position(['A', 'B', 'C', 'D', 'F'], old_grade)""")
+def arch_diff(spark, sf):
+    """Repositories whose grade is worse in the last readable snapshot than in the first, with the change of health."""
+    s = D.readable_snapshots(load(spark, sf, "snapshots")).where("grade is not null and health is not null")
+    v = F.struct("created_at", "id", "grade", "health")
+    e = s.groupBy("repo_id").agg(F.min(v).alias("a"), F.max(v).alias("b"))
+    return e.where(D.grade_worse(F.col("a.grade"), F.col("b.grade"))).select("repo_id", F.col("a.grade").alias("old_grade"), F.col("b.grade").alias("new_grade"), (F.col("b.health") - F.col("a.health")).alias("health_delta"))
 
-    from codestrata.operators.snapshots import is_json
 
-    s = load(spark, sf, "snapshots").select("repo_id", "id", "created_at", "data").dropDuplicates().where(is_json("data"))
-    k = s.select("repo_id", "id", "created_at", F.get_json_object("data", "$.healthScore").try_cast("double").alias("health"), F.get_json_object("data", "$.circularDepCount").try_cast("long").alias("cycles"))
-    w = W.partitionBy("repo_id").orderBy("created_at", "id")
-    d = k.withColumn("health_delta", F.col("health") - F.lag("health").over(w)).withColumn("cycles_delta", F.col("cycles") - F.lag("cycles").over(w))
-    return d.where("health_delta is not null").select("repo_id", F.col("id").alias("snapshot_id"), "health_delta", "cycles_delta", D.drift_level(F.col("health_delta"), F.col("cycles_delta"), F.lit(0)).alias("drift"))
+@R.add("diff_snapshots", f"""WITH {_SNAPS}, w AS (SELECT *, lag(id) OVER o prev, health - lag(health) OVER o dh, cycles - lag(cycles) OVER o dc FROM sn WINDOW o AS (PARTITION BY repo_id ORDER BY created_at, id)),
+ c AS (SELECT sn.repo_id, sn.id, regexp_replace(regexp_replace(replace(e.key, '\\', '/'), '/+', '/', 'g'), '^(\\./)+', '') path, max(TRY_CAST(e.value->>'$.in' AS DOUBLE)) n FROM (SELECT DISTINCT repo_id, id, data FROM snapshots WHERE json_valid(data) AND json_type(data, '$.fileCoupling') = 'OBJECT') sn, json_each(data->'$.fileCoupling') e GROUP BY ALL),
+ g AS (SELECT w.id, w.repo_id, count(*) n_grown FROM w JOIN c a ON a.repo_id = w.repo_id AND a.id = w.prev JOIN c b ON b.repo_id = w.repo_id AND b.id = w.id AND b.path = a.path WHERE b.n - a.n >= 2 AND b.n > a.n * 1.2 GROUP BY ALL)
+ SELECT w.repo_id, w.id snapshot_id, dh health_delta, dc cycles_delta, coalesce(n_grown, 0) n_grown, CASE WHEN dh <= -20 OR dc >= 5 OR coalesce(n_grown, 0) >= 5 THEN 'CRITICAL' WHEN dh <= -5 OR dc >= 1 OR coalesce(n_grown, 0) >= 2 THEN 'DEGRADED' ELSE 'STABLE' END drift FROM w LEFT JOIN g ON g.repo_id = w.repo_id AND g.id = w.id WHERE dh IS NOT NULL""")
+def diff_snapshots(spark, sf):
+    """Drift between consecutive readable snapshots: health, cycles, and files whose incoming coupling grew by two and a fifth."""
+    return D.snapshot_drift(load(spark, sf, "snapshots"))
 
 
 @R.add("heritage", "SELECT repo_id, count(*) FILTER (churn > 0) n_changed, count(*) n_files, round(100.0 * count(*) FILTER (churn = 0) / count(*), 2) heritage_pct FROM files GROUP BY 1")

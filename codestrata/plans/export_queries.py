@@ -14,27 +14,25 @@ QUERIES, SQL = R.queries, R.sql
 
 
 def _sql(fmt: str, max_nodes: int | None = None) -> str:
-    head, node, edge, tail = X.FORMATS[fmt]
+    head, node, between, edge, tail = X.FORMATS[fmt]
     q = lambda s: s.replace("'", "''")
+    plain = fmt in ("mermaid", "plantuml")
+    ident = lambda c: f"regexp_replace({c}, '[^A-Za-z0-9_]', '_', 'g') || '_' || left(md5({c}), 8)" if plain else c
 
-    def fill(t: str, names: list[str]) -> str:
-        t = t.replace("%3$s", "\0").replace("%2$s", "\1")
-        parts, k = [], 0
-        for i, p in enumerate(t.split("%s")):
-            if i:
-                parts.append(names[k])
-                k += 1
-            piece = p
-            for mark, n in (("\0", 2), ("\1", 1)):
-                piece = piece.replace(mark, f"' || {names[n]} || '") if len(names) > n else piece
-            parts.append("'" + (q(p) if piece == p else "' || ".join([]) + piece) + "'")
-        return " || ".join(parts)
+    def fill(t: str, *cols: str) -> str:
+        t = q(t)
+        for k, c in enumerate(cols, 1):
+            t = t.replace(f"%{k}$s", f"' || {c} || '")
+        return f"'{t}'"
 
     lim = f" ORDER BY total DESC, path LIMIT {max_nodes}" if max_nodes else ""
     kept = "WHERE source IN (SELECT path FROM k) AND target IN (SELECT path FROM k)" if max_nodes else ""
+    own = "left(md5(source || chr(0) || target), 16)"
+    last_node = f"CASE WHEN {ident('path')} = (SELECT max({ident('path')}) FROM k) THEN '' ELSE ',' END"
+    last_edge = f"CASE WHEN {own} = (SELECT max({own}) FROM e) THEN '' ELSE ',' END"
     return (
         f"WITH dd AS (SELECT path, count(*) total FROM (SELECT source path FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1), k AS (SELECT path FROM dd{lim}), e AS (SELECT source, target, CAST(CAST(sum(\"count\") AS BIGINT) AS VARCHAR) n FROM edges {kept} GROUP BY 1, 2) "
-        f"SELECT 0 ord, '{q(head)}' line UNION ALL SELECT 1, {fill(node, ['path', 'path'])} FROM k UNION ALL SELECT 2, {fill(edge, ['source', 'target', 'n'])} FROM e" + (f" UNION ALL SELECT 3, '{q(tail)}'" if tail else "")
+        f"SELECT 0 ord, '{q(head)}' line UNION ALL SELECT 1, {fill(node, ident('path'), 'path', last_node)} FROM k UNION ALL SELECT 3, {fill(edge, ident('source'), ident('target'), 'n', own, last_edge)} FROM e" + (f" UNION ALL SELECT 2, '{q(between)}'" if between else "") + (f" UNION ALL SELECT 4, '{q(tail)}'" if tail else "")
     )
 
 
@@ -121,13 +119,11 @@ def manifest_packages(spark, sf):
     return readers.manifest_packages(spark.createDataFrame([("package.json", '{"dependencies":{"lodash":"^4.0.0"}}'), ("requirements.txt", "# x\nnumpy==1.26\n"), ("go.mod", "module m\nrequire github.com/x/y v1.2.3\n")], "path string, content string"))
 
 
-@R.add("ingest", "SELECT doc_id, CAST(0 AS INTEGER) idx, length(trim(text)) n FROM documents WHERE text IS NOT NULL AND length(text) BETWEEN 1 AND 400 AND regexp_matches(text, '^[A-Za-z][ -~]*[a-z.]$')")
+@R.add("ingest")
 def ingest(spark, sf):
-    """Documents cut into chunks; short plain ones are one chunk, which SQL can say as well."""
-    d = load(spark, sf, "documents")
-    c = readers.chunk_documents(d.dropDuplicates(["doc_id"]), "doc_id", "text")
-    short = d.where(F.length("text").between(1, 400) & F.col("text").rlike(r"^[A-Za-z][ -~]*[a-z.]\z")).select("doc_id")
-    return c.join(short, "doc_id", "left_semi").select("doc_id", "idx", F.length("chunk").alias("n"))
+    """All documents cut into chunks, with the length of each."""
+    c = readers.chunk_documents(load(spark, sf, "documents").dropDuplicates(["doc_id"]), "doc_id", "text")
+    return c.select("doc_id", "idx", F.length("chunk").alias("n"))
 
 
 @R.add("chunks_all")

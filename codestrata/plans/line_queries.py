@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from codestrata.functions import scalar as S
 from codestrata.operators import lines as L
-from codestrata.plans.bindings import Registry, files, functions
+from codestrata.plans.bindings import Registry, contents, files, functions
 from codestrata.session import load
 
 R = Registry()
@@ -15,7 +15,7 @@ _K = ["file_id", "repo_id", "path"]
 
 
 def _code(spark, sf):
-    return files(spark, sf).select("file_id", "repo_id", "path", "content", "layer")
+    return contents(spark, sf).select("file_id", "repo_id", "path", "content", "layer")
 
 
 def _scan(name: str, library: list, doc: str, config: bool = True) -> None:
@@ -41,7 +41,7 @@ def env_vars(spark, sf):
 
 @R.add("undocumented_env", f"WITH {L.scan_sql(L.ENV_READS)}, doc AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?m)^(?:export )?([A-Z_][A-Z0-9_]+)=', 1)) \"name\" FROM files WHERE NOT is_code AND content IS NOT NULL) SELECT DISTINCT \"name\" FROM hits WHERE \"name\" NOT IN (SELECT \"name\" FROM doc)")
 def undocumented_env(spark, sf):
-    f = files(spark, sf)
+    f = contents(spark, sf)
     doc = f.where("not is_code and content is not null").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^(?:export )?([A-Z_][A-Z0-9_]+)="), 1)).alias("name")).dropDuplicates()
     return L.scan(_code(spark, sf), _K, L.ENV_READS).select("name").dropDuplicates().join(doc, "name", "left_anti")
 
@@ -56,9 +56,15 @@ def events(spark, sf):
     return a.join(b, "name", "full_outer").select("name", F.coalesce("n_emits", zero).alias("n_emits"), F.coalesce("n_subscribes", zero).alias("n_subscribes"))
 
 
-@R.add("feature_flags", f"WITH {L.scan_sql(L.FLAGS)} SELECT \"name\", min(tag) flag_source, count(*) n FROM hits GROUP BY 1")
+_FLAG_ORDER = "CASE tag " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(dict.fromkeys(t for t, _ in L.FLAGS))) + " END"
+
+
+@R.add("feature_flags", f"WITH {L.scan_sql(L.FLAGS)} SELECT \"name\", arg_min(tag, {_FLAG_ORDER}) flag_source, count(*) n FROM hits GROUP BY 1")
 def feature_flags(spark, sf):
-    return L.scan(_code(spark, sf), _K, L.FLAGS).groupBy("name").agg(F.min("tag").alias("flag_source"), F.count("*").alias("n"))
+    """Flags by name, with the source whose pattern stands first in the library."""
+    order = F.array(*[F.lit(t) for t in dict.fromkeys(t for t, _ in L.FLAGS)])
+    h = L.scan(_code(spark, sf), _K, L.FLAGS)
+    return h.groupBy("name").agg(F.min_by("tag", F.array_position(order, F.col("tag"))).alias("flag_source"), F.count("*").alias("n"))
 
 
 @R.add("orm_map", f"WITH {L.scan_sql(L.ORM_CALLS)} SELECT tag orm, \"name\" model, count(*) n FROM hits GROUP BY 1, 2")
@@ -129,7 +135,8 @@ def reg_impact(spark, sf):
 @R.add("perf")
 def perf(spark, sf):
     """Calls inside loops and blocking calls."""
-    return L.loop_findings(_code(spark, sf), _K)
+    f = L.loop_findings(_code(spark, sf), _K)
+    return f.dropDuplicates(["file_id", *[c for c in f.columns if c not in _K]])
 
 
 @R.add("dep_impact", "SELECT file_id, repo_id, path, churn FROM files WHERE list_contains(imports, 'json') OR list_contains(imports, 'fmt')")
@@ -148,7 +155,7 @@ def dead_packages(spark, sf):
 
 @R.add("migration_plan", "WITH x AS (SELECT file_id, len(regexp_extract_all(content, '\\b(console|logging|fmt)\\b', 1)) usages, len(list_filter(imports, lambda i: i IN ('logging', 'fmt'))) sites FROM files WHERE content IS NOT NULL) SELECT file_id, CAST(3 * sites + usages AS BIGINT) effort, CASE WHEN 3 * sites + usages <= 3 THEN 'low' WHEN 3 * sites + usages <= 12 THEN 'medium' ELSE 'high' END bucket FROM x WHERE sites > 0")
 def migration_plan(spark, sf):
-    x = files(spark, sf).where("content is not null").select("file_id", F.regexp_count("content", F.lit(r"\b(console|logging|fmt)\b")).alias("u"), F.size(F.filter("imports", lambda i: i.isin("logging", "fmt"))).alias("s")).where("s > 0")
+    x = contents(spark, sf).where("content is not null").select("file_id", F.regexp_count("content", F.lit(r"\b(console|logging|fmt)\b")).alias("u"), F.size(F.filter("imports", lambda i: i.isin("logging", "fmt"))).alias("s")).dropDuplicates(["file_id"]).where("s > 0")
     e = (3 * F.col("s") + F.col("u")).cast("long")
     return x.select("file_id", e.alias("effort"), F.when(e <= 3, "low").when(e <= 12, "medium").otherwise("high").alias("bucket"))
 
@@ -170,7 +177,7 @@ def vulnerabilities(spark, sf):
 def similarity(spark, sf):
     """Files that are equal once texts, numbers and blanks are normalised."""
     h = F.md5(F.regexp_replace(F.regexp_replace(F.regexp_replace("content", '"[^"\n]*"', "S"), r"\b\d+\.?\d*\b", "N"), r"\s+", " "))
-    return files(spark, sf).where("content is not null").select("file_id", h.alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file")).where("n_files > 1")
+    return contents(spark, sf).where("content is not null").select("file_id", h.alias("fingerprint")).dropDuplicates(["file_id"]).groupBy("fingerprint").agg(F.count("*").alias("n_files"), F.min("file_id").alias("first_file")).where("n_files > 1")
 
 
 _FP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '//[^\n]*', '', 'g'), '[''\"`][^''\"`]*[''\"`]', '', 'g'), '\b[a-zA-Z_$][a-zA-Z0-9_$]*\b', 'I', 'g'), '\b\d+\.?\d*\b', 'N', 'g'), '\s+', '', 'g')"
@@ -188,8 +195,8 @@ def structural_fingerprint(spark, sf):
 @R.add("rename", r"SELECT file_id, len(regexp_extract_all(content, '\bitem\b')) n, md5(regexp_replace(content, '\bitem\b', 'element', 'g')) digest FROM files WHERE regexp_matches(content, '\bitem\b')")
 def rename(spark, sf):
     """Whole-word occurrences of a name and the digest of the text after the renaming."""
-    f = files(spark, sf).where(F.col("content").rlike(r"\bitem\b"))
-    return f.select("file_id", F.regexp_count("content", F.lit(r"\bitem\b")).cast("long").alias("n"), F.md5(F.regexp_replace("content", r"\bitem\b", "element")).alias("digest"))
+    f = contents(spark, sf).where(F.col("content").rlike(r"\bitem\b"))
+    return f.select("file_id", F.regexp_count("content", F.lit(r"\bitem\b")).cast("long").alias("n"), F.md5(F.regexp_replace("content", r"\bitem\b", "element")).alias("digest")).dropDuplicates(["file_id"])
 
 
 @R.add("apply_refactor", r"SELECT file_id, md5(regexp_replace(regexp_replace(content, '\bitem\b', 'element', 'g'), '\blimit\b', 'bound', 'g')) digest FROM files WHERE regexp_matches(content, '\b(item|limit)\b')")
@@ -198,7 +205,7 @@ def apply_refactor(spark, sf):
     c = F.col("content")
     for a, b in (("item", "element"), ("limit", "bound")):
         c = F.regexp_replace(c, rf"\b{a}\b", b)
-    return files(spark, sf).where(F.col("content").rlike(r"\b(item|limit)\b")).select("file_id", F.md5(c).alias("digest"))
+    return contents(spark, sf).where(F.col("content").rlike(r"\b(item|limit)\b")).select("file_id", F.md5(c).alias("digest")).dropDuplicates(["file_id"])
 
 
 @R.add("layer_detection", "SELECT file_id, CASE WHEN regexp_matches(p, '/test|test_\\w+\\.py$|\\w+_test\\.py$|conftest') THEN 'test' WHEN regexp_matches(p, '/ui/|/views/|/pages/|/templates/|/static/') THEN 'ui' WHEN contains(p, '/component') THEN 'components' WHEN regexp_matches(p, '/service|/api/|/controller|/endpoint|/router|/middleware|/handler|/signal') THEN 'services' WHEN regexp_matches(p, '/util|/helper|/lib/|/common/') THEN 'utils' WHEN regexp_matches(p, '/data|/model|/store|/schema|/serializer|/migration|/fixtures/') THEN 'data' WHEN regexp_matches(p, '/task|/worker|/celery|/job') THEN 'services' WHEN regexp_matches(p, '/config|/settings|settings\\.py$') THEN 'config' WHEN regexp_matches(p, '/modules/|/bas/') THEN 'modules' WHEN regexp_matches(p, '/forms/|/userforms/') THEN 'ui' WHEN contains(p, '/classes/') THEN 'data' ELSE 'utils' END layer FROM (SELECT file_id, lower(path) p FROM files)")
@@ -213,12 +220,12 @@ def complexity(spark, sf):
     py = [r"\bif\s+", r"\belif\s+", r"\bwhile\s+", r"\bfor\s+\w+\s+in\s+", r"\bexcept\b", r"\bwith\s+", r"\band\b", r"\bor\b"]
     other = [r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bcase\s+", r"\bcatch\s*\(", r"&&", r"\|\|"]
     n = lambda ps: sum((F.regexp_count("content", F.lit(p)) for p in ps), F.lit(1))
-    return files(spark, sf).where("is_code and content is not null").select("file_id", F.when(F.col("path").endswith(".py"), n(py)).otherwise(n(other)).cast("long").alias("complexity"))
+    return contents(spark, sf).where("is_code and content is not null").select("file_id", F.when(F.col("path").endswith(".py"), n(py)).otherwise(n(other)).cast("long").alias("complexity")).dropDuplicates(["file_id"])
 
 
 @R.add("nesting", "WITH c AS (SELECT file_id, unnest(range(1, len(s) + 1)) i, unnest(s) x FROM (SELECT file_id, regexp_extract_all(content, '[{}]') s FROM files WHERE content IS NOT NULL)), r AS (SELECT file_id, sum(CASE x WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY file_id ORDER BY i) d FROM c) SELECT f.file_id, CAST(coalesce(max(greatest(d, 0)), 0) AS INTEGER) depth FROM files f LEFT JOIN r ON r.file_id = f.file_id WHERE content IS NOT NULL GROUP BY 1")
 def nesting(spark, sf):
-    return files(spark, sf).where("content is not null").select("file_id", S.nesting_depth(F.col("content")).alias("depth"))
+    return contents(spark, sf).where("content is not null").select("file_id", S.nesting_depth(F.col("content")).alias("depth")).dropDuplicates(["file_id"])
 
 
 @R.add("import_edges", "SELECT repo_id, path source, unnest(imports) target FROM files")

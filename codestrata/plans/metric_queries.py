@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from codestrata.functions import scalar as S
 from codestrata.operators import metrics as M
 from codestrata.operators.graph import degrees
-from codestrata.plans.bindings import Registry, edges, entities, files, functions, gfiles, links, relations
+from codestrata.plans.bindings import Registry, contents, edges, entities, files, functions, gfiles, links, relations
 from codestrata.session import load
 
 R = Registry()
@@ -30,9 +30,11 @@ def dependents(spark, sf):
     return e.groupBy("target").agg(F.countDistinct("fn").alias("n_fns"), F.sum("count").alias("n_calls")).join(F.broadcast(n), F.lit(True))
 
 
-@R.add("architecture", "SELECT layer, count(*) n_files, list_sort(list(path)) paths FROM gfiles GROUP BY 1")
+@R.add("architecture", "SELECT DISTINCT layer, repo_id, path, count(*) OVER (PARTITION BY layer) n_files FROM (SELECT DISTINCT layer, repo_id, path FROM files)")
 def architecture(spark, sf):
-    return gfiles(spark, sf).groupBy("layer").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """Files by layer, a row each beside the size of the layer; no layer is gathered in one row."""
+    f = files(spark, sf).select("layer", "repo_id", "path").dropDuplicates()
+    return f.join(f.groupBy("layer").agg(F.count("*").alias("n_files")), "layer")
 
 
 @R.add("layer_counts", "SELECT repo_id, layer, count(*) n_files, CAST(sum(\"lines\") AS BIGINT) n_lines FROM files GROUP BY 1, 2")
@@ -84,7 +86,7 @@ _CALLS = r"""defs AS (SELECT repo_id, name fn, file source FROM (SELECT *, row_n
 
 @R.add("call_edges", f"WITH {_CALLS} SELECT c.repo_id, source, target, c.fn, \"count\" FROM called c JOIN defs d ON c.repo_id = d.repo_id AND c.fn = d.fn WHERE source <> target")
 def call_edges(spark, sf):
-    return M.call_edges(files(spark, sf), functions(spark, sf))
+    return M.call_edges(contents(spark, sf), functions(spark, sf))
 
 
 @R.add("unused", rf"""WITH {_CALLS} SELECT fn_id, repo_id, file, name, line FROM functions f WHERE is_top_level AND NOT coalesce(is_class_method, false) AND coalesce(len(decorators), 0) = 0
@@ -92,7 +94,7 @@ def call_edges(spark, sf):
  AND NOT (coalesce(is_exported, false) AND regexp_matches(file, '\.[jt]sx?$')) AND NOT EXISTS (SELECT 1 FROM called c JOIN defs d ON c.repo_id = d.repo_id AND c.fn = d.fn WHERE source <> target AND c.repo_id = f.repo_id AND c.fn = f.name)""")
 def unused(spark, sf):
     f = functions(spark, sf)
-    return M.dead_functions(f, M.call_edges(files(spark, sf), f).select("repo_id", F.col("fn").alias("name")))
+    return M.dead_functions(f, M.call_edges(contents(spark, sf), f).select("repo_id", F.col("fn").alias("name")))
 
 
 @R.add("health_score", """WITH x AS (SELECT repo_id, count(*) FILTER (is_code) n_files, count(*) FILTER (complexity > 30) coupled, count(*) FILTER ("lines" > 100) god FROM files GROUP BY 1), y AS (SELECT repo_id, count(*) n_fn, count(*) FILTER (NOT coalesce(is_exported, false)) dead FROM functions GROUP BY 1)
@@ -106,21 +108,27 @@ def health_score(spark, sf):
     return x.join(y, "repo_id", "left").select("repo_id", s.alias("score")).withColumn("grade", S.score_grade(F.col("score")))
 
 
-@R.add("stale", f"WITH {_DEG} SELECT path, fan_in, churn, CAST(floor(100 * (0.4 * (1 - churn / (SELECT greatest(max(churn), 1) FROM g)) + 0.35 * least(fan_in / 20.0, 1.0) + 0.25) + 0.5) AS BIGINT) score FROM g WHERE fan_in >= 1")
+@R.add("stale", f"""WITH t AS (SELECT DISTINCT repo_id, unnest(string_split(regexp_replace(lower(regexp_replace(path, '^.*/', '')), '[^a-z0-9]+', ' ', 'g'), ' ')) w FROM files WHERE {_TEST}), u AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]+$', '')), '[^a-z0-9]+', ' ', 'g') st FROM files WHERE is_code AND coupling_in >= 1 AND NOT {_TEST}),
+ h AS (SELECT u.file_id, bool_or(t.w IS NOT NULL) tested FROM (SELECT file_id, repo_id, unnest(string_split(st, ' ')) w FROM u) u LEFT JOIN t ON t.repo_id = u.repo_id AND t.w = u.w AND length(u.w) >= 3 GROUP BY 1)
+ SELECT u.file_id, coupling_in fan_in, churn, tested, CAST(floor(100 * (0.4 * (1 - churn / (SELECT greatest(max(churn), 1) FROM files WHERE NOT {_TEST})) + 0.35 * least(coupling_in / 20.0, 1.0) + CASE WHEN tested THEN 0 ELSE 0.25 END) + 0.5) AS BIGINT) score FROM u JOIN h USING (file_id)""")
 def stale(spark, sf):
-    return M.stale(gfiles(spark, sf), edges(spark, sf))
+    f = files(spark, sf).where(F.coalesce("is_code", F.lit(False)) | S.is_test(F.col("path")))
+    return M.stale_files(f.withColumn("fan_in", F.col("coupling_in")), files(spark, sf)).select("file_id", "fan_in", "churn", "tested", "score")
 
 
-@R.add("change_risk", f"""WITH {_DEG}, c AS (SELECT * FROM g WHERE layer = 'ASIA'), s AS (SELECT least(100, floor(500.0 * sum(fan_in) / (SELECT count(*) FROM g) / 100 + 0.5)) blast, least(100, avg(complexity)) complexity, least(100, avg(churn)) churn FROM c)
- SELECT round(0.35 * blast + 0.25 * complexity + 0.20 * churn, 4) score FROM s""")
+_RISK = f"""WITH {_DEG}, lv AS (SELECT r_name layer, r_regionkey * 2 level FROM region), vi AS (SELECT DISTINCT e.source FROM edges e JOIN gfiles a ON a.path = e.source JOIN gfiles b ON b.path = e.target JOIN lv x ON x.layer = a.layer JOIN lv y ON y.layer = b.layer WHERE y.level - x.level > 1),
+ s AS (SELECT layer, least(100, floor(500.0 * sum(fan_in) / (SELECT count(*) FROM g) + 0.5)) blast, least(100, 5 * avg(complexity)) cx, least(100, avg(churn)) churn, least(100, 20 * count(vi.source)) violations FROM g LEFT JOIN vi ON vi.source = g.path GROUP BY 1),
+ t AS (SELECT layer change_set, round(0.35 * blast + 0.25 * cx + 0.20 * churn + 0.20 * violations, 4) score FROM s)"""
+
+
+@R.add("change_risk", _RISK + " SELECT change_set, score, CASE WHEN score <= 33 THEN 'low' WHEN score <= 66 THEN 'medium' ELSE 'high' END level FROM t")
 def change_risk(spark, sf):
-    """Risk of a change set: blast radius, complexity and churn, each capped."""
-    g = M.with_degrees(gfiles(spark, sf), edges(spark, sf))
-    n = g.agg(F.count("*").alias("n"))
-    c = g.where("layer = 'ASIA'").agg(F.sum("fan_in").alias("f"), F.avg("complexity").alias("x"), F.avg("churn").alias("h")).join(F.broadcast(n), F.lit(True))
-    w, cap = M.RISK_WEIGHTS, F.lit(100)
-    blast = F.least(cap, S.round_half_up(500.0 * F.col("f") / F.col("n") / 100))
-    return c.select(F.round(w["blast"] * blast + w["complexity"] * F.least(cap, F.col("x")) + w["churn"] * F.least(cap, F.col("h")), 4).alias("score"))
+    """Risk of each change set (the files of a region): blast radius, complexity, churn and violations, each capped, and the level."""
+    g, e = gfiles(spark, sf), edges(spark, sf)
+    levels = F.broadcast(load(spark, sf, "region").select(F.col("r_name").alias("layer"), (F.col("r_regionkey") * 2).alias("level")))
+    lv = g.select("path", "layer").join(levels, "layer").select("path", "level")
+    bad = e.select("source", "target").join(lv.withColumnRenamed("path", "source").withColumnRenamed("level", "a"), "source").join(lv.withColumnRenamed("path", "target").withColumnRenamed("level", "b"), "target").where("b - a > 1").select(F.col("source").alias("path")).dropDuplicates()
+    return M.change_risk(M.with_degrees(g, e).withColumn("change_set", F.col("layer")), bad)
 
 
 @R.add("surprising_connections", """WITH x AS (SELECT e.source, e.target, a.layer source_layer, b.layer target_layer FROM edges e JOIN gfiles a ON a.path = e.source JOIN gfiles b ON b.path = e.target WHERE a.layer <> b.layer)
@@ -156,7 +164,7 @@ _LV = "(VALUES ('config', 0), ('util', 1), ('utils', 1), ('helper', 1), ('lib',
  lv AS (SELECT DISTINCT repo_id || ':' || path path, files.layer, level FROM files JOIN {_LV} ON l.layer = lower(files.layer)) SELECT source, a.layer source_layer, target, b.layer target_layer, fn FROM ce JOIN lv a ON a.path = source JOIN lv b ON b.path = target WHERE a.level < b.level AND b.level - a.level > 1""")
 def layer_violations(spark, sf):
     f = files(spark, sf)
-    ce = M.call_edges(f, functions(spark, sf))
+    ce = M.call_edges(contents(spark, sf), functions(spark, sf))
     full = lambda c: F.concat("repo_id", F.lit(":"), c)
     e = ce.select(full("source").alias("source"), full("target").alias("target"), "fn")
     return M.layer_violations(f.select(full("path").alias("path"), "layer").dropDuplicates(), e)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from codestrata.functions import scalar as S
 from codestrata.operators import graph, search as Q
-from codestrata.plans.bindings import Registry, chunks, entities, functions, relations
+from codestrata.plans.bindings import OLD_STATE, Registry, chunks, entities, functions, relations
 from codestrata.session import load
 
 R = Registry()
@@ -160,8 +160,8 @@ def context(spark, sf):
     return files(spark, sf).join(n, ["repo_id", "path"], "left").select("file_id", "layer", "complexity", F.coalesce("n", F.lit(0).cast("long")).alias("n_functions"))
 
 
-@R.add("embedding_refresh", "SELECT fn_id FROM functions WHERE fn_id % 5 = 0 OR md5(coalesce(code, '')) NOT IN (SELECT md5(coalesce(code, '')) FROM functions WHERE fn_id % 5 <> 0)")
+@R.add("embedding_refresh", "WITH o AS (SELECT lower(trim(id)) id, md5(coalesce(name, '') || '|' || coalesce(attrs, '')) h FROM kg_entities WHERE loaded_at <= TIMESTAMP '2024-10-01'), n AS (SELECT DISTINCT lower(trim(id)) id, md5(coalesce(name, '') || '|' || coalesce(attrs, '')) h FROM kg_entities WHERE loaded_at > TIMESTAMP '2024-10-01') SELECT n.id, n.h FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = n.id AND o.h = n.h)")
 def embedding_refresh(spark, sf):
-    """Rows whose (key, content hash) is not yet stored: an anti join."""
-    f = functions(spark, sf).select("fn_id", F.md5(F.coalesce("code", F.lit(""))).alias("h"))
-    return f.join(f.where("fn_id % 5 <> 0"), ["fn_id", "h"], "left_anti").select("fn_id")
+    """Rows loaded since the last run whose (key, content hash) is not yet stored: an anti join."""
+    e = load(spark, sf, "kg_entities").select(F.lower(F.btrim("id")).alias("id"), F.md5(F.concat(F.coalesce("name", F.lit("")), F.lit("|"), F.coalesce("attrs", F.lit("")))).alias("h"), (F.col("loaded_at").cast("timestamp_ntz") <= F.lit(OLD_STATE).cast("timestamp_ntz")).alias("old"))
+    return e.where("not old").select("id", "h").dropDuplicates().join(e.where("old").select("id", "h"), ["id", "h"], "left_anti")

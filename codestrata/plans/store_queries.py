@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from codestrata.functions import scalar as S
-from codestrata.plans.bindings import Registry, files, functions, traces
+from codestrata.plans.bindings import OLD_STATE, Registry, files, functions, symbols, traces
+from codestrata.plans.data_queries import _P1
 from codestrata.session import load
 
 R = Registry()
@@ -49,10 +50,11 @@ def latest_snapshot(spark, sf):
     return load(spark, sf, "snapshots").groupBy("repo_id").agg(F.max(F.struct("created_at", "id")).alias("m")).select("repo_id", "m.id")
 
 
-@R.add("snapshot", "SELECT repo_id, CAST(sum(coupling_in) AS BIGINT) coupling, round(avg(complexity), 4) complexity, list_sort(list(path)) paths FROM files WHERE is_code GROUP BY 1")
+@R.add("snapshot", "SELECT repo_id, path, coupling_in, coupling_out, CAST(sum(coupling_in) OVER w AS BIGINT) coupling, count(*) OVER w n_files FROM (SELECT DISTINCT repo_id, path, coupling_in, coupling_out FROM files WHERE is_code) WINDOW w AS (PARTITION BY repo_id)")
 def snapshot(spark, sf):
-    """The row that a new snapshot would hold."""
-    return files(spark, sf).where("is_code").groupBy("repo_id").agg(F.sum("coupling_in").alias("coupling"), F.round(F.avg("complexity"), 4).alias("complexity"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """The rows of a snapshot, one per code file beside its repository's totals; no repository is gathered in one row."""
+    f = files(spark, sf).where("is_code").select("repo_id", "path", "coupling_in", "coupling_out").dropDuplicates()
+    return f.join(f.groupBy("repo_id").agg(F.sum("coupling_in").alias("coupling"), F.count("*").alias("n_files")), "repo_id")
 
 
 @R.add("snapshot_history", "SELECT repo_id, id FROM (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, id DESC) rn FROM (SELECT DISTINCT repo_id, id, created_at FROM snapshots)) WHERE rn <= 5")
@@ -62,9 +64,10 @@ def snapshot_history(spark, sf):
     return load(spark, sf, "snapshots").select("repo_id", "id", "created_at").dropDuplicates().withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("repo_id", "id")
 
 
-@R.add("group_list", "SELECT workspace, list_sort(list(DISTINCT repo_id)) repos FROM files WHERE workspace IS NOT NULL GROUP BY 1")
+@R.add("group_list", "SELECT DISTINCT workspace, repo_id FROM files WHERE workspace IS NOT NULL")
 def group_list(spark, sf):
-    return files(spark, sf).where("workspace is not null").groupBy("workspace").agg(F.array_sort(F.collect_set("repo_id")).alias("repos"))
+    """Members of each group, a row each."""
+    return files(spark, sf).where("workspace is not null").select("workspace", "repo_id").dropDuplicates()
 
 
 @R.add("group_add", "SELECT DISTINCT workspace, repo_id FROM files WHERE workspace IS NOT NULL UNION SELECT 'new', 'repo'")
@@ -254,21 +257,26 @@ def vuln_watch(spark, sf):
     return new_since(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["user_id", "event_type"])
 
 
-@R.add("watch", "SELECT (SELECT count(*) FROM (SELECT DISTINCT repo_id, path FROM files WHERE file_id % 10 < 8)) n_before, (SELECT count(*) FROM (SELECT DISTINCT repo_id, path FROM files WHERE file_id % 10 > 1)) n_after, (SELECT count(*) FROM (SELECT repo_id, path FROM files WHERE file_id % 10 > 1 EXCEPT SELECT repo_id, path FROM files WHERE file_id % 10 < 8)) n_added, (SELECT count(*) FROM (SELECT repo_id, path FROM files WHERE file_id % 10 < 8 EXCEPT SELECT repo_id, path FROM files WHERE file_id % 10 > 1)) n_removed")
+@R.add("watch", f"""WITH {_P1}, l AS (SELECT repo_id, max(snapshot_id) snapshot_id FROM d GROUP BY 1)
+ SELECT d.repo_id, d.snapshot_id, count(*) FILTER (field = 'fileCoupling' AND change = 'added') n_added, count(*) FILTER (field = 'fileCoupling' AND change = 'removed') n_removed, count(*) FILTER (field = 'fileCoupling' AND change = 'changed') n_changed, count(*) FILTER (field = 'healthScore') > 0 health_changed FROM d JOIN l ON l.repo_id IS NOT DISTINCT FROM d.repo_id AND l.snapshot_id = d.snapshot_id WHERE change IS NOT NULL GROUP BY ALL""")
 def watch(spark, sf):
-    """A state against its baseline."""
-    f = files(spark, sf)
-    a, b = f.where("file_id % 10 < 8").select("repo_id", "path").dropDuplicates().withColumn("x", F.lit(1)), f.where("file_id % 10 > 1").select("repo_id", "path").dropDuplicates().withColumn("y", F.lit(1))
-    return a.join(b, ["repo_id", "path"], "full_outer").agg(F.count("x").alias("n_before"), F.count("y").alias("n_after"), F.count_if(F.col("x").isNull()).alias("n_added"), F.count_if(F.col("y").isNull()).alias("n_removed"))
+    """What the newest delivery of each repository changed against the one before."""
+    from codestrata.operators.snapshots import snapshot_changes
 
+    d = snapshot_changes(load(spark, sf, "snapshots"))
+    is_ = lambda f, c=None: (F.col("field") == f) & (F.lit(True) if c is None else F.col("change") == c)
+    per = d.groupBy("repo_id", "snapshot_id").agg(*[F.count_if(is_("fileCoupling", c)).alias(f"n_{c}") for c in ("added", "removed", "changed")], (F.count_if(is_("healthScore")) > 0).alias("health_changed"))
+    top = per.groupBy("repo_id").agg(F.max(F.struct("snapshot_id", "n_added", "n_removed", "n_changed", "health_changed")).alias("x"))
+    return top.select("repo_id", "x.*")
 
-@R.add("incremental_merge", "WITH fresh AS (SELECT repo_id, path, \"lines\" + 1 v FROM files WHERE file_id % 7 = 0) SELECT repo_id, path, max(v) v FROM (SELECT repo_id, path, \"lines\" v FROM files f WHERE NOT EXISTS (SELECT 1 FROM fresh x WHERE x.repo_id = f.repo_id AND x.path = f.path) UNION ALL SELECT * FROM fresh) GROUP BY 1, 2")
+
+@R.add("incremental_merge", "WITH o AS (SELECT name, max(sig) v FROM symbols_old GROUP BY 1), n AS (SELECT lower(trim(id)) name, max(mentions) v FROM kg_entities WHERE loaded_at > TIMESTAMP '2024-10-01' GROUP BY 1) SELECT coalesce(n.name, o.name) name, CASE WHEN n.name IS NULL THEN o.v ELSE n.v END v FROM o FULL JOIN n ON o.name = n.name")
 def incremental_merge(spark, sf):
-    """Affected rows replaced, the others kept."""
-    f = files(spark, sf)
-    fresh = f.where("file_id % 7 = 0").select("repo_id", "path", (F.col("lines") + 1).alias("v"))
-    kept = f.join(fresh.select("repo_id", "path"), ["repo_id", "path"], "left_anti").select("repo_id", "path", F.col("lines").alias("v"))
-    return kept.unionByName(fresh).groupBy("repo_id", "path").agg(F.max("v").alias("v"))
+    """The old state with the rows that came later put in by key: affected rows replaced, the others kept."""
+    old = symbols(spark, sf, OLD_STATE).groupBy("name").agg(F.max("sig").alias("v"))
+    late = load(spark, sf, "kg_entities").where(F.col("loaded_at").cast("timestamp_ntz") > F.lit(OLD_STATE).cast("timestamp_ntz"))
+    fresh = late.groupBy(F.lower(F.btrim("id")).alias("name")).agg(F.max("mentions").alias("v"))
+    return old.join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
 
 
 @R.add("rollup_report", "SELECT repo_id, layer, count(*) n FROM files GROUP BY ROLLUP (repo_id, layer)")

@@ -33,12 +33,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the folder the session names, so that losing an executor loses no result.
 
-    The folder is read from `spark.checkpoint.dir`; only where that is unset (tests, a single machine) a local one is used.
+    The folder is read from `spark.checkpoint.dir`; only where that is unset and the master is local (tests, a single machine) one of
+    the machine's is used. On a cluster without that setting it is an error, as a folder of one machine is none of the others'.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "codestrata-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = folder or os.path.join(os.environ.get("TMPDIR", "/tmp"), "codestrata-checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

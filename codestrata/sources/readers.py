@@ -85,13 +85,14 @@ def notebook_cells(books: DataFrame) -> DataFrame:
 
 
 def lcov(lines: DataFrame) -> DataFrame:
-    """(path, n_lines, n_hit, pct) of an lcov report given as (line_no, line): the last SF line owns the DA lines after it.
+    """(path, n_lines, n_hit, pct) of lcov reports given as (line_no, line) with, if there are several, the report they are of (report).
 
-    A report is a bounded file; it is read in order in one task.
+    The last SF line of a report owns the DA lines after it. Each report is read in order by itself.
     """
-    w = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    s = lines.withColumn("path", F.last(F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 100000)), ignorenulls=True).over(w)).where(F.col("line").startswith("DA:"))
-    hit = F.split(F.substring("line", 4, 100000), ",")[1].cast("int") > 0
+    d = lines if "report" in lines.columns else lines.withColumn("report", F.lit(""))
+    w = W.partitionBy("report").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    s = d.withColumn("path", F.last(F.when(F.col("line").startswith("SF:"), F.substr("line", F.lit(4))), ignorenulls=True).over(w)).where(F.col("line").startswith("DA:") & F.col("path").isNotNull())
+    hit = F.split(F.substr("line", F.lit(4)), ",")[1].cast("int") > 0
     return s.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("n_hit"), F.round(100.0 * F.count_if(hit) / F.count("*"), 2).alias("pct"))
 
 

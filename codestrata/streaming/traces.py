@@ -29,19 +29,30 @@ def new_since(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     return after.select(*keys).dropDuplicates().join(before.select(*keys).dropDuplicates(), keys, "left_anti")
 
 
-def merge_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, **trigger):
-    """Starts a query that merges each micro-batch into a parquet table by key, the later row wins; written to a new version each time."""
+def merge_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None, keep: int = 2, **trigger):
+    """Starts a query that merges each micro-batch into a parquet table by key; written to a new version each time, of which the last `keep` stay.
+
+    order: the column by which the later row of a key wins, within a batch and against what is stored; without it a batch's row always
+    replaces the stored one, and within a batch the greatest row wins. A batch that is run again starts from the version before it.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = f"{path}/v{batch_id - 1}"
-        fresh = batch.dropDuplicates(keys)
-        try:
-            old = spark.read.parquet(last)
-        except Exception:  # the first batch
-            old = None
-        out = fresh if old is None else old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
-        out.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+        versions = sorted(int(v[1:]) for v in found if v[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_SUCCESS")))
+        before = [v for v in versions if v < batch_id]
+        rest = [c for c in batch.columns if c not in keys]
+        by = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+        latest = lambda d: d.groupBy(*keys).agg(F.max(by).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]) if rest else d.dropDuplicates(keys)
+        out = fresh = latest(batch)
+        if before:
+            old = spark.read.parquet(f"{path}/v{before[-1]}")
+            out = latest(old.unionByName(fresh)) if order else old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        out.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        for v in before[: max(0, len(before) + 1 - keep)]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
