@@ -113,11 +113,6 @@ def brain_index(spark, sf):
     return files(spark, sf).groupBy("repo_id").agg(F.countDistinct("path").alias("n_files"), F.countDistinct("folder").alias("n_folders"))
 
 
-@R.add("analyze", "SELECT repo_id, language, layer, count(*) n_files, CAST(sum(\"lines\") AS BIGINT) n_lines FROM files WHERE is_code GROUP BY 1, 2, 3")
-def analyze(spark, sf):
-    return files(spark, sf).where("is_code").groupBy("repo_id", "language", "layer").agg(F.count("*").alias("n_files"), F.sum("lines").alias("n_lines"))
-
-
 @R.add("repo_context", f"WITH {_REPOS} SELECT repo_id, n_files, date_diff('day', indexed_at, TIMESTAMP '2026-01-01') age_days, date_diff('day', indexed_at, TIMESTAMP '2026-01-01') > 365 stale FROM repos")
 def repo_context(spark, sf):
     age = F.datediff(F.lit("2026-01-01").cast("date"), F.to_date("indexed_at")).cast("long")
