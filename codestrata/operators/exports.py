@@ -76,6 +76,11 @@ def export_graph(edges: DataFrame, fmt: str, max_nodes: int | None = None) -> Da
     return out.unionByName(one(4, tail)) if tail else out
 
 
+def csv_cell(c: str) -> Column:
+    """A column as a cell of CSV."""
+    return S.csv_text(F.col(c).cast("string"))
+
+
 def export_csv(edges: DataFrame) -> DataFrame:
     """Aggregated connections as CSV lines."""
     e = edges.groupBy("source", "target").agg(F.sum("count").alias("n"))

@@ -48,11 +48,6 @@ for _n, _f, _m in [("export_graphml", "graphml", None), ("export_cypher", "cyphe
     _export(_n, _f, _m)
 
 
-@R.add("export_csv", "SELECT source || ',' || target || ',' || CAST(sum(\"count\") AS BIGINT) line FROM edges GROUP BY source, target")
-def export_csv(spark, sf):
-    return X.export_csv(edges(spark, sf))
-
-
 @R.add("sarif")
 def sarif(spark, sf):
     return X.sarif(L.scan(files(spark, sf).select("file_id", "repo_id", "path", "content"), ["path"], L.SECURITY))

@@ -139,12 +139,6 @@ def perf(spark, sf):
     return f.dropDuplicates(["file_id", *[c for c in f.columns if c not in _K]])
 
 
-@R.add("dep_impact", "SELECT file_id, repo_id, path, churn FROM files WHERE list_contains(imports, 'json') OR list_contains(imports, 'fmt')")
-def dep_impact(spark, sf):
-    """Files that import a package."""
-    return files(spark, sf).where(F.arrays_overlap("imports", F.array(F.lit("json"), F.lit("fmt")))).select("file_id", "repo_id", "path", "churn")
-
-
 @R.add("dead_packages", "WITH used AS (SELECT DISTINCT repo_id, unnest(imports) p FROM files), declared AS (SELECT DISTINCT repo_id, p FROM files, (VALUES ('fmt'), ('lodash'), ('express')) d(p)) SELECT * FROM declared EXCEPT SELECT * FROM used")
 def dead_packages(spark, sf):
     """Declared packages that no file of the repository imports."""
@@ -160,12 +154,6 @@ def migration_plan(spark, sf):
     return x.select("file_id", e.alias("effort"), F.when(e <= 3, "low").when(e <= 12, "medium").otherwise("high").alias("bucket"))
 
 
-@R.add("sbom", "SELECT repo_id, lib, count(*) n_files FROM (SELECT repo_id, unnest(imports) lib FROM files) WHERE NOT starts_with(lib, '.') GROUP BY 1, 2")
-def sbom(spark, sf):
-    """Components of each repository."""
-    return files(spark, sf).select("repo_id", F.explode("imports").alias("lib")).where(~F.col("lib").startswith(".")).groupBy("repo_id", "lib").agg(F.count("*").alias("n_files"))
-
-
 @R.add("vulnerabilities", "SELECT repo_id, lib, severity FROM (SELECT DISTINCT repo_id, unnest(imports) lib FROM files) JOIN (VALUES ('fmt', 'low'), ('java.util.List', 'high')) a(lib, severity) USING (lib)")
 def vulnerabilities(spark, sf):
     """Components that an advisory table names; the table is given, since nothing is fetched."""

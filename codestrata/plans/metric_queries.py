@@ -54,11 +54,6 @@ def code_hotspots(spark, sf):
     return files(spark, sf).where("is_code").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("repo_id", "path", "complexity", "rank")
 
 
-@R.add("metrics", f"WITH {_DEG} SELECT path, layer, \"lines\", complexity, churn, fan_in, fan_out FROM g")
-def metrics(spark, sf):
-    return M.with_degrees(gfiles(spark, sf), edges(spark, sf)).select("path", "layer", "lines", "complexity", "churn", "fan_in", "fan_out")
-
-
 @R.add("file_metrics", "SELECT f.file_id, f.path, f.\"lines\", f.complexity, coalesce(n, 0) n_functions FROM files f LEFT JOIN (SELECT repo_id, file, count(*) n FROM functions GROUP BY 1, 2) x ON x.repo_id = f.repo_id AND x.file = f.path")
 def file_metrics(spark, sf):
     n = functions(spark, sf).groupBy("repo_id", F.col("file").alias("path")).agg(F.count("*").alias("n"))
@@ -97,17 +92,6 @@ def unused(spark, sf):
     return M.dead_functions(f, M.call_edges(contents(spark, sf), f).select("repo_id", F.col("fn").alias("name")))
 
 
-@R.add("health_score", """WITH x AS (SELECT repo_id, count(*) FILTER (is_code) n_files, count(*) FILTER (complexity > 30) coupled, count(*) FILTER ("lines" > 100) god FROM files GROUP BY 1), y AS (SELECT repo_id, count(*) n_fn, count(*) FILTER (NOT coalesce(is_exported, false)) dead FROM functions GROUP BY 1)
- SELECT repo_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END grade FROM (SELECT repo_id, CAST(CASE WHEN n_files = 0 THEN 100 ELSE greatest(0, 100 - least(15, 3 * god) - least(10, 2 * coupled) - least(10, floor(30.0 * coalesce(dead, 0) / greatest(coalesce(n_fn, 0), 1) + 0.5))) END AS BIGINT) score FROM x LEFT JOIN y USING (repo_id))""")
-def health_score(spark, sf):
-    """Score and grade per repository; long files stand for god files, very complex ones for coupled files, unexported functions for dead ones."""
-    x = files(spark, sf).groupBy("repo_id").agg(F.count_if("is_code").alias("n_files"), F.count_if(F.col("complexity") > 30).alias("coupled"), F.count_if(F.col("lines") > 100).alias("god"))
-    y = functions(spark, sf).groupBy("repo_id").agg(F.count("*").alias("n_fn"), F.count_if(~F.coalesce("is_exported", F.lit(False))).alias("dead"))
-    zero = F.lit(0)
-    s = M.health(F.col("n_files"), zero, zero, F.col("god"), F.col("coupled"), F.coalesce("dead", zero), F.coalesce("n_fn", zero))
-    return x.join(y, "repo_id", "left").select("repo_id", s.alias("score")).withColumn("grade", S.score_grade(F.col("score")))
-
-
 @R.add("stale", f"""WITH t AS (SELECT DISTINCT repo_id, unnest(string_split(regexp_replace(lower(regexp_replace(path, '^.*/', '')), '[^a-z0-9]+', ' ', 'g'), ' ')) w FROM files WHERE {_TEST}), u AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]+$', '')), '[^a-z0-9]+', ' ', 'g') st FROM files WHERE is_code AND coupling_in >= 1 AND NOT {_TEST}),
  h AS (SELECT u.file_id, bool_or(t.w IS NOT NULL) tested FROM (SELECT file_id, repo_id, unnest(string_split(st, ' ')) w FROM u) u LEFT JOIN t ON t.repo_id = u.repo_id AND t.w = u.w AND length(u.w) >= 3 GROUP BY 1)
  SELECT u.file_id, coupling_in fan_in, churn, tested, CAST(floor(100 * (0.4 * (1 - churn / (SELECT greatest(max(churn), 1) FROM files WHERE NOT {_TEST})) + 0.35 * least(coupling_in / 20.0, 1.0) + CASE WHEN tested THEN 0 ELSE 0.25 END) + 0.5) AS BIGINT) score FROM u JOIN h USING (file_id)""")
@@ -194,18 +178,6 @@ def pr_comment(spark, sf):
     return e.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(10)
 
 
-@R.add("suggest", f"""WITH {_DEG}, s AS (SELECT 'split' kind, path, least(100, floor(3 * fan_in / 10.0 + 0.2 * churn / 10 + 0.5)) effort, least(100, 40 + floor(2 * fan_in / 10.0 + 0.5)) impact FROM g WHERE complexity > 3 UNION ALL SELECT 'decouple', path, least(100, floor(3 * fan_in / 10.0 + 0.5)), least(100, 20 + floor(2 * fan_in / 10.0 + 0.5)) FROM g WHERE fan_in > 30)
- SELECT kind, path, CAST(effort AS BIGINT) effort, CAST(impact AS BIGINT) impact, floor(impact / greatest(effort, 1) * 100 + 0.5) / 100 ratio FROM s""")
-def suggest(spark, sf):
-    """Suggestions with effort, impact and their ratio."""
-    g = M.with_degrees(gfiles(spark, sf), edges(spark, sf))
-    cap = F.lit(100)
-    rnd = S.round_half_up
-    a = g.where("complexity > 3").select(F.lit("split").alias("kind"), "path", F.least(cap, rnd(3 * F.col("fan_in") / 10.0 + 0.2 * F.col("churn") / 10)).alias("effort"), F.least(cap, 40 + rnd(2 * F.col("fan_in") / 10.0)).alias("impact"))
-    b = g.where("fan_in > 30").select(F.lit("decouple").alias("kind"), "path", F.least(cap, rnd(3 * F.col("fan_in") / 10.0)).alias("effort"), F.least(cap, 20 + rnd(2 * F.col("fan_in") / 10.0)).alias("impact"))
-    return a.unionByName(b).withColumn("ratio", rnd(F.col("impact") / F.greatest("effort", F.lit(1)), 2))
-
-
 @R.add("minimal_context", f"""WITH {_DEG} (SELECT 'language' kind, language item, n FROM (SELECT language, count(*) n FROM files WHERE language IS NOT NULL GROUP BY 1 ORDER BY n DESC, language LIMIT 3)) UNION ALL (SELECT 'hub', path, fan_in FROM g ORDER BY fan_in DESC, path LIMIT 3) UNION ALL (SELECT 'layer', layer, n FROM (SELECT layer, count(*) n FROM files GROUP BY 1 ORDER BY n DESC, layer LIMIT 4))""")
 def minimal_context(spark, sf):
     f = files(spark, sf)
@@ -244,47 +216,12 @@ def subsystems(spark, sf):
     return e.where("source_subsystem <> target_subsystem").groupBy("source_subsystem", "target_subsystem").agg(F.count("*").alias("n"))
 
 
-@R.add("patch_impact", f"WITH {_DEG} SELECT o_orderpriority AS sha, CAST(sum(fan_in) AS BIGINT) impact, count(*) n_files FROM (SELECT DISTINCT o_orderpriority, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) JOIN g ON path = n_name GROUP BY 1")
-def patch_impact(spark, sf):
-    """Incoming edges of the files each commit touches."""
-    t = lambda n: load(spark, sf, n)
-    c = t("orders").select(F.col("o_orderpriority").alias("sha"), "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("sha", "c_nationkey").dropDuplicates().join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("sha", F.col("n_name").alias("path"))
-    return c.join(M.with_degrees(gfiles(spark, sf), edges(spark, sf)).select("path", "fan_in"), "path").groupBy("sha").agg(F.sum("fan_in").alias("impact"), F.count("*").alias("n_files"))
-
-
-@R.add("good_first_issues", f"SELECT file_id, repo_id, path FROM files WHERE is_code AND coupling_in <= 2 AND coupling_out <= 3 AND complexity < 10 AND churn <= 2 AND NOT {_TEST}")
-def good_first_issues(spark, sf):
-    return files(spark, sf).where("is_code and coupling_in <= 2 and coupling_out <= 3 and complexity < 10 and churn <= 2").where(~S.is_test(F.col("path"))).select("file_id", "repo_id", "path")
-
-
 @R.add("resolve_receiver", "SELECT repo_id, name, count(DISTINCT coalesce(class_name, file)) n_owners, CASE WHEN count(DISTINCT coalesce(class_name, file)) = 1 THEN 'resolved' ELSE 'ambiguous' END state FROM functions WHERE is_class_method GROUP BY 1, 2")
 def resolve_receiver(spark, sf):
     n = F.countDistinct(F.coalesce("class_name", "file"))
     return functions(spark, sf).where("is_class_method").groupBy("repo_id", "name").agg(n.alias("n_owners")).withColumn("state", F.when(F.col("n_owners") == 1, "resolved").otherwise("ambiguous"))
 
 
-@R.add("contracts", """WITH p AS (SELECT DISTINCT source, fn FROM edges WHERE source = 'NATION_3' AND "count" >= 3), u AS (SELECT target consumer, fn, CAST(sum("count") AS BIGINT) usage FROM edges WHERE source = 'NATION_3' GROUP BY 1, 2)
- SELECT p.fn, coalesce(count(u.consumer), 0) n_consumers, CAST(coalesce(sum(usage), 0) AS BIGINT) usage FROM p LEFT JOIN u ON p.fn = u.fn GROUP BY 1""")
-def contracts(spark, sf):
-    """What a provider offers and how much its consumers use of it."""
-    e = edges(spark, sf).where("source = 'NATION_3'")
-    p = e.where("count >= 3").select("fn").dropDuplicates()
-    u = e.groupBy(F.col("target").alias("consumer"), "fn").agg(F.sum("count").alias("usage"))
-    return p.join(u, "fn", "left").groupBy("fn").agg(F.count("consumer").alias("n_consumers"), F.coalesce(F.sum("usage"), F.lit(0)).alias("usage"))
-
-
-@R.add("api_impact", "SELECT f.repo_id, f.name, count(DISTINCT f.file) n_files, CAST(least(100, 10 * count(DISTINCT f.file)) AS BIGINT) risk FROM functions f WHERE name ILIKE 'load%' GROUP BY 1, 2")
-def api_impact(spark, sf):
-    f = functions(spark, sf).where(F.col("name").ilike("load%"))
-    return f.groupBy("repo_id", "name").agg(F.countDistinct("file").alias("n_files")).withColumn("risk", F.least(F.lit(100), 10 * F.col("n_files")).cast("long"))
-
-
-@R.add("shape_check", "SELECT fn_id, repo_id, file, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file, line, fn_id) rank FROM functions WHERE name = 'main' OR name ILIKE 'load\\_%' ESCAPE '\\') WHERE rank <= 5")
-def shape_check(spark, sf):
-    w = W.partitionBy("repo_id").orderBy("file", "line", "fn_id")
-    return functions(spark, sf).where((F.col("name") == "main") | F.lower("name").startswith("load_")).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("fn_id", "repo_id", "file", "line", "rank")
-
-
 @R.add("diff_symbols", "WITH h AS (SELECT repo_id, path, churn + 1 start, churn + 8 stop FROM files WHERE churn > 0) SELECT DISTINCT f.fn_id FROM functions f JOIN h ON h.repo_id = f.repo_id AND h.path = f.file AND f.line BETWEEN start - 5 AND stop + 5")
 def diff_symbols(spark, sf):
     """Functions within five lines of a changed range: an equality on the file with a range on the line."""
@@ -300,29 +237,12 @@ def detect_changes(spark, sf):
     return t.withColumn("risk", S.ladder(F.col("n"), [(20, "CRITICAL"), (10, "HIGH"), (3, "MEDIUM")], "LOW", strict=True))
 
 
-@R.add("org_summary", """WITH g AS (SELECT repo_id, avg(CASE health_grade WHEN 'A' THEN 5 WHEN 'B' THEN 4 WHEN 'C' THEN 3 WHEN 'D' THEN 2 ELSE 1 END) gpa, count(*) n FROM files WHERE health_grade IS NOT NULL GROUP BY 1)
- SELECT repo_id, n, CASE WHEN gpa >= 4.5 THEN 'A' WHEN gpa >= 3.5 THEN 'B' WHEN gpa >= 2.5 THEN 'C' WHEN gpa >= 1.5 THEN 'D' ELSE 'F' END grade FROM g""")
-def org_summary(spark, sf):
-    points = F.when(F.col("health_grade") == "A", 5).when(F.col("health_grade") == "B", 4).when(F.col("health_grade") == "C", 3).when(F.col("health_grade") == "D", 2).otherwise(1)
-    g = files(spark, sf).where("health_grade is not null").groupBy("repo_id").agg(F.avg(points).alias("gpa"), F.count("*").alias("n"))
-    return g.select("repo_id", "n", S.ladder(F.col("gpa"), [(4.5, "A"), (3.5, "B"), (2.5, "C"), (1.5, "D")], "F").alias("grade"))
-
-
 @R.add("org_graph", "WITH l AS (SELECT DISTINCT repo_id, unnest(imports) lib FROM files), s AS (SELECT lib FROM l GROUP BY 1 HAVING count(DISTINCT repo_id) >= 3) SELECT lib, count(DISTINCT repo_id) n_repos FROM l JOIN s USING (lib) GROUP BY 1")
 def org_graph(spark, sf):
     """Libraries that three or more repositories share."""
     return files(spark, sf).select("repo_id", F.explode("imports").alias("lib")).dropDuplicates().groupBy("lib").agg(F.countDistinct("repo_id").alias("n_repos")).where("n_repos >= 3")
 
 
-@R.add("coverage_gaps", f"WITH t AS (SELECT DISTINCT repo_id, regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]+$', '') stem FROM files WHERE {_TEST}) SELECT f.repo_id, f.folder, count(*) n_files, count(*) FILTER (t.stem IS NULL) n_gaps FROM files f LEFT JOIN t ON t.repo_id = f.repo_id AND t.stem = regexp_replace(f.name, '\\.[^.]+$', '') WHERE f.is_code AND NOT {_TEST.replace('path', 'f.path')} GROUP BY 1, 2")
-def coverage_gaps(spark, sf):
-    """Code files per folder that no test file of the same stem covers."""
-    f = files(spark, sf)
-    t = f.where(S.is_test(F.col("path"))).select("repo_id", S.stem(F.col("path")).alias("stem")).dropDuplicates().withColumn("hit", F.lit(1))
-    c = f.where("is_code").where(~S.is_test(F.col("path"))).withColumn("stem", F.regexp_replace("name", r"\.[^.]+$", ""))
-    return c.join(t, ["repo_id", "stem"], "left").groupBy("repo_id", "folder").agg(F.count("*").alias("n_files"), F.count_if(F.col("hit").isNull()).alias("n_gaps"))
-
-
 @R.add("wiki", "SELECT repo_id, split_part(path, '/', 1) page, count(*) n_files, CAST(sum(\"lines\") AS BIGINT) n_lines FROM files GROUP BY 1, 2")
 def wiki(spark, sf):
     """Pages by top folder."""

@@ -104,16 +104,6 @@ def kg_neighbours(spark, sf):
     return r.join(t, r.src == F.col("node")).select(F.col("dst").alias("other"), F.lit("out").alias("direction")).unionByName(r.join(t, r.dst == F.col("node")).select(F.col("src").alias("other"), F.lit("in").alias("direction"))).dropDuplicates()
 
 
-@R.add("kg_trace", f"""WITH {_KD}, t AS {_TOP}, s AS (SELECT src a, dst b FROM relations WHERE src <> dst UNION SELECT dst, src FROM relations WHERE src <> dst),
- d1 AS (SELECT DISTINCT b n FROM s, t WHERE a = node), d2 AS (SELECT DISTINCT s.b n FROM s JOIN d1 ON s.a = d1.n WHERE s.b NOT IN (SELECT n FROM d1) AND s.b NOT IN (SELECT node FROM t)) SELECT 1 AS depth, count(*) n FROM d1 UNION ALL SELECT 2, count(*) FROM d2""")
-def kg_trace(spark, sf):
-    """How many entities lie one and two steps from the best-connected one, undirected."""
-    e = relations(spark, sf).select(F.col("src").alias("source"), F.col("dst").alias("target"))
-    t = kg_hubs(spark, sf).limit(1).select("node")
-    r = graph.reach(graph.symmetric(e), t, 2).where("depth > 0")
-    return r.groupBy("depth").agg(F.count("*").alias("n"))
-
-
 @R.add("kg_ask", "WITH k(w) AS (VALUES ('cache'), ('graph'), ('token')), c AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w FROM chunks WHERE text IS NOT NULL) JOIN k USING (w)) SELECT id, count(*) n_keywords FROM c GROUP BY 1 ORDER BY n_keywords DESC, id LIMIT 8")
 def kg_ask(spark, sf):
     """Chunks by the keywords of a question."""
