@@ -6,11 +6,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _c3(name: str, bases: dict, seen: tuple = ()) -> list[str]:
+def _c3(name: str, bases: dict, seen: tuple = (), known: dict | None = None) -> list[str]:
+    """Orders once found are kept in `known`, so that diamonds are not searched again; what a cycle cut short is not kept."""
+    known = {} if known is None else known
+    if name in known:
+        return known[name]
     if name in seen:
+        known["\0cut"] = True
         return [name]
     own = [b for b in bases.get(name, [])]
-    lists = [_c3(b, bases, (*seen, name)) for b in own] + [own]
+    before = known.pop("\0cut", False)
+    lists = [list(_c3(b, bases, (*seen, name), known)) for b in own] + [own]
     out = [name]
     while any(lists):
         head = next((x[0] for x in lists if x and not any(x[0] in y[1:] for y in lists)), None)
@@ -20,6 +26,10 @@ def _c3(name: str, bases: dict, seen: tuple = ()) -> list[str]:
             break
         out.append(head)
         lists = [[y for y in x if y != head] for x in lists]
+    if "\0cut" not in known:
+        known[name] = out
+    if before:
+        known["\0cut"] = True
     return out
 
 
@@ -32,9 +42,10 @@ def linearize(classes: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bases = {r["name"]: list(r.bases) if r.bases is not None else [] for _, r in pdf.iterrows()}
         methods = {r["name"]: set(r.methods) if r.methods is not None else set() for _, r in pdf.iterrows()}
-        rows = []
+        rows, known = [], {}
         for n in sorted(bases):
-            order = _c3(n, bases)
+            known.pop("\0cut", None)
+            order = _c3(n, bases, (), known)
             up = set().union(*[methods.get(b, set()) for b in order[1:]]) if len(order) > 1 else set()
             rows.append((pdf.repo_id.iloc[0], n, order, sorted(methods[n] & up)))
         return pd.DataFrame(rows, columns=["repo_id", "name", "linearization", "overridden"])

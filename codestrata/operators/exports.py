@@ -97,6 +97,18 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(rule.alias("ruleId"), level.alias("level"), F.struct(F.substring_index("tag", ":", -1).alias("text")).alias("message"), F.array(loc).alias("locations"))).alias("result"))
 
 
+#: What stands before the results of a SARIF document.
+SARIF_HEAD = '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"codestrata"}},"results":['
+
+
+def sarif_document(findings: DataFrame) -> DataFrame:
+    """(ord, line): the results of `sarif`, each once, in the frame of a document; in the order of ord and line one JSON text."""
+    r = sarif(findings).select(F.col("result").alias("j")).dropDuplicates()
+    r = r.join(F.broadcast(r.agg(F.max("j").alias("top"))), F.lit(True)).select(F.lit(1).alias("ord"), F.concat("j", F.when(F.col("j") == F.col("top"), "").otherwise(",")).alias("line"))
+    one = lambda k, t: findings.sparkSession.createDataFrame([(k, t)], "ord int, line string")
+    return one(0, SARIF_HEAD).unionByName(r).unionByName(one(2, "]}]}"))
+
+
 def badge(label: str, grade: str) -> str:
     """A small SVG with a label and a grade."""
     # Colours by grade.

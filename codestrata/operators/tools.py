@@ -157,3 +157,57 @@ def organisation(files: DataFrame) -> DataFrame:
 def severity(tag: Column) -> Column:
     """Of a finding's tag, `severity:title`."""
     return F.substring_index(tag, ":", 1)
+
+
+def entity_facts(relations: DataFrame, entities: DataFrame, chunks: DataFrame, node: str, facts: int = 20, texts: int = 3) -> DataFrame:
+    """(kind, item, detail) of one entity: its first neighbours by weight, then name, and the first chunks of its documents (both counts are the feature's).
+
+    relations: (src, dst, type, weight); entities: (id, doc_id); chunks: (id, doc_id, idx).
+    """
+    out = relations.where(F.col("src") == node).select(F.lit("out").alias("d"), F.col("dst").alias("item"), "type", "weight")
+    r = out.unionByName(relations.where(F.col("dst") == node).select(F.lit("in").alias("d"), F.col("src").alias("item"), "type", "weight"))
+    a = r.orderBy(F.desc_nulls_last("weight"), "item", "d", "type").limit(facts).select(F.lit("fact").alias("kind"), "item", F.concat_ws(":", "d", "type").alias("detail"))
+    d = entities.where(F.lower(F.btrim("id")) == node).select("doc_id").dropDuplicates()
+    b = chunks.join(F.broadcast(d), "doc_id", "left_semi").orderBy("doc_id", "idx", "id").limit(texts).select(F.lit("chunk").alias("kind"), F.col("id").alias("item"), F.col("doc_id").alias("detail"))
+    return a.unionByName(b)
+
+
+def answer_material(question: str, chunks: DataFrame, entities: DataFrame, relations: DataFrame, top_chunks: int = 8, top_entities: int = 5, neighbours: int = 6) -> DataFrame:
+    """(kind, item, detail) for a question: the chunks with most of its keywords, the most mentioned entities named by one, and neighbours of each.
+
+    Keywords are the question's first ten words of three letters and more. An answer is composed from these rows; no model is called.
+    """
+    words = list(dict.fromkeys(w for w in "".join(c if c.isalnum() else " " for c in question.lower()).split() if len(w) > 2))[:10]
+    w = chunks.where("text is not null").select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("w")).where(F.col("w").isin(*words))
+    c = w.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(top_chunks).select(F.lit("chunk").alias("kind"), F.col("id").alias("item"), F.col("n").cast("string").alias("detail"))
+    named = F.exists(F.array(*[F.lit(x) for x in words]), lambda x: F.contains(F.lower("name"), x)) if words else F.lit(False)
+    e = entities.where(named).groupBy(F.lower(F.btrim("id")).alias("id")).agg(F.max("mentions").alias("m")).orderBy(F.desc_nulls_last("m"), "id").limit(top_entities)
+    both = relations.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(relations.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    near = both.join(F.broadcast(e.select("id")), "id").dropDuplicates()
+    near = near.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("other"))).where(F.col("k") <= neighbours)
+    return c.unionByName(e.select(F.lit("entity").alias("kind"), F.col("id").alias("item"), F.col("m").cast("string").alias("detail"))).unionByName(near.select(F.lit("fact").alias("kind"), F.col("id").alias("item"), F.col("other").alias("detail")))
+
+
+def duties(hits: DataFrame, imported: DataFrame, files: DataFrame, near: int = 30) -> DataFrame:
+    """(file_id, severity): files that initiate and approve: within `near` lines critical, else high; files that only import one of each medium.
+
+    hits: (file_id, line_no, tag); nearest pairs are found by a frame over lines, without a self-join. imported: (repo_id, source, target).
+    """
+    w = W.partitionBy("file_id").orderBy("line_no").rangeBetween(-near, near)
+    g = hits.withColumn("near", F.max(F.when(F.col("tag") == "approve", 1)).over(w))
+    g = g.groupBy("file_id").agg(F.max(F.when(F.col("tag") == "initiate", F.coalesce("near", F.lit(0)))).alias("near"), F.count_if(F.col("tag") == "approve").alias("n"))
+    own = g.where("n > 0 and near is not null").select("file_id", F.when(F.col("near") == 1, "critical").otherwise("high").alias("severity"))
+    f = files.select("file_id", "repo_id", "path")
+    side = g.join(f, "file_id").select("repo_id", F.col("path").alias("target"), (F.col("near").isNotNull()).alias("i"), (F.col("n") > 0).alias("a"))
+    m = imported.join(side, ["repo_id", "target"]).groupBy("repo_id", F.col("source").alias("path")).agg(F.bool_or("i").alias("i"), F.bool_or("a").alias("a")).where("i and a")
+    return own.unionByName(m.join(f, ["repo_id", "path"]).join(own, "file_id", "left_anti").select("file_id", F.lit("medium").alias("severity")))
+
+
+def file_context(files: DataFrame, calls: DataFrame, findings: DataFrame) -> DataFrame:
+    """(file_id, layer, complexity, n_functions, n_dependents, n_dependencies, n_findings). files as of `code_files`; calls resolved (repo_id, source, target)."""
+    e = calls.where("source <> target").select("repo_id", "source", "target").dropDuplicates()
+    a = e.groupBy("repo_id", F.col("target").alias("path")).agg(F.count("*").alias("n_dependents"))
+    b = e.groupBy("repo_id", F.col("source").alias("path")).agg(F.count("*").alias("n_dependencies"))
+    n = findings.groupBy("file_id").agg(F.count("*").alias("n_findings"))
+    j = files.join(a, ["repo_id", "path"], "left").join(b, ["repo_id", "path"], "left").join(n, "file_id", "left").na.fill(0, ["n_dependents", "n_dependencies", "n_findings"])
+    return j.select("file_id", "layer", "complexity", "n_functions", "n_dependents", "n_dependencies", "n_findings")

@@ -48,11 +48,6 @@ for _n, _f, _m in [("export_graphml", "graphml", None), ("export_cypher", "cyphe
     _export(_n, _f, _m)
 
 
-@R.add("sarif")
-def sarif(spark, sf):
-    return X.sarif(L.scan(files(spark, sf).select("file_id", "repo_id", "path", "content"), ["path"], L.SECURITY))
-
-
 @R.add("diagram", "SELECT '  System_Boundary(' || replace(layer, ' ', '_') || ', \"' || layer || '\") ' || count(*) AS line FROM gfiles GROUP BY layer")
 def diagram(spark, sf):
     """Containers of a C4 diagram."""

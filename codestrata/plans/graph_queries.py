@@ -242,10 +242,3 @@ def graph_query(spark, sf):
     return guarded_sql(spark, "SELECT source, count(*) AS n FROM codestrata_edges GROUP BY source")
 
 
-@R.add("mro")
-def mro(spark, sf):
-    """Linearized bases and overridden methods of classes."""
-    from codestrata.operators.classes import linearize
-
-    c = spark.createDataFrame([("r", "A", [], ["f", "g"]), ("r", "B", ["A"], ["f"]), ("r", "C", ["A"], ["g"]), ("r", "D", ["B", "C"], ["h"])], "repo_id string, name string, bases array<string>, methods array<string>")
-    return linearize(c)

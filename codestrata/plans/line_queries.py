@@ -108,16 +108,6 @@ def license(spark, sf):
     return h.groupBy("repo_id", F.col("name").alias("license")).agg(F.first(cat).alias("category"), F.countDistinct("file_id").alias("n_files"))
 
 
-@R.add("duties", f"WITH {L.scan_sql(L.DUTIES)} SELECT DISTINCT a.file_id, CASE WHEN EXISTS (SELECT 1 FROM hits x JOIN hits y ON x.file_id = y.file_id AND x.tag = 'initiate' AND y.tag = 'approve' AND abs(x.line_no - y.line_no) <= 30 WHERE x.file_id = a.file_id) THEN 'critical' ELSE 'high' END severity FROM hits a JOIN hits b ON a.file_id = b.file_id WHERE a.tag = 'initiate' AND b.tag = 'approve'")
-def duties(spark, sf):
-    """Files that both initiate and approve; critical within 30 lines. Nearest pairs are found by running maxima, without a self-join."""
-    h = L.scan(_code(spark, sf), _K, L.DUTIES).select("file_id", "line_no", "tag")
-    w = W.partitionBy("file_id").orderBy("line_no").rangeBetween(-30, 30)
-    g = h.withColumn("near", F.max(F.when(F.col("tag") == "approve", 1)).over(w))
-    g = g.groupBy("file_id").agg(F.max(F.when(F.col("tag") == "initiate", F.coalesce("near", F.lit(0)))).alias("near"), F.count_if(F.col("tag") == "approve").alias("n"))
-    return g.where("n > 0 and near is not null").select("file_id", F.when(F.col("near") == 1, "critical").otherwise("high").alias("severity"))
-
-
 @R.add("req_trace", f"WITH {L.scan_sql(L.REQ_TAGS)} SELECT r.id, count(DISTINCT file_id) n_files, CASE WHEN count(file_id) > 0 THEN 'covered' ELSE 'uncovered' END state FROM (VALUES ('REQ-1'), ('REQ-2')) r(id) LEFT JOIN hits ON \"name\" = r.id GROUP BY 1")
 def req_trace(spark, sf):
     r = spark.createDataFrame([("REQ-1",), ("REQ-2",)], "id string")

@@ -203,11 +203,6 @@ def onboard(spark, sf):
     return M.with_degrees(gfiles(spark, sf), edges(spark, sf)).where(F.contains("path", F.lit("1"))).select("path", "layer", (order * 1000 - F.col("fan_in")).cast("long").alias("score"))
 
 
-@R.add("types", "SELECT repo_id, file, count(*) n_functions, count(return_type) n_typed, round(100.0 * count(return_type) / count(*), 2) pct FROM functions WHERE regexp_matches(file, '\\.(ts|tsx|py)$') GROUP BY 1, 2")
-def types(spark, sf):
-    return functions(spark, sf).where(F.col("file").rlike(r"\.(ts|tsx|py)$")).groupBy("repo_id", "file").agg(F.count("*").alias("n_functions"), F.count("return_type").alias("n_typed"), F.round(100.0 * F.count("return_type") / F.count("*"), 2).alias("pct"))
-
-
 @R.add("subsystems", "SELECT a.s source_subsystem, b.s target_subsystem, count(*) n FROM edges JOIN (SELECT path, CASE WHEN path LIKE 'NATION\\_1%' ESCAPE '\\' THEN 'one' WHEN path LIKE 'NATION\\_2%' ESCAPE '\\' THEN 'two' END s FROM gfiles) a ON a.path = source JOIN (SELECT path, CASE WHEN path LIKE 'NATION\\_1%' ESCAPE '\\' THEN 'one' WHEN path LIKE 'NATION\\_2%' ESCAPE '\\' THEN 'two' END s FROM gfiles) b ON b.path = target WHERE a.s <> b.s GROUP BY 1, 2")
 def subsystems(spark, sf):
     """Edges between subsystems, which are path prefixes, the first that matches counts."""
@@ -216,12 +211,6 @@ def subsystems(spark, sf):
     return e.where("source_subsystem <> target_subsystem").groupBy("source_subsystem", "target_subsystem").agg(F.count("*").alias("n"))
 
 
-@R.add("resolve_receiver", "SELECT repo_id, name, count(DISTINCT coalesce(class_name, file)) n_owners, CASE WHEN count(DISTINCT coalesce(class_name, file)) = 1 THEN 'resolved' ELSE 'ambiguous' END state FROM functions WHERE is_class_method GROUP BY 1, 2")
-def resolve_receiver(spark, sf):
-    n = F.countDistinct(F.coalesce("class_name", "file"))
-    return functions(spark, sf).where("is_class_method").groupBy("repo_id", "name").agg(n.alias("n_owners")).withColumn("state", F.when(F.col("n_owners") == 1, "resolved").otherwise("ambiguous"))
-
-
 @R.add("diff_symbols", "WITH h AS (SELECT repo_id, path, churn + 1 start, churn + 8 stop FROM files WHERE churn > 0) SELECT DISTINCT f.fn_id FROM functions f JOIN h ON h.repo_id = f.repo_id AND h.path = f.file AND f.line BETWEEN start - 5 AND stop + 5")
 def diff_symbols(spark, sf):
     """Functions within five lines of a changed range: an equality on the file with a range on the line."""
@@ -267,26 +256,12 @@ def config_check(spark, sf):
     return edges(spark, sf).groupBy("source").agg(F.countDistinct("target").alias("blast_radius")).where("blast_radius > 20")
 
 
-@R.add("issues", "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) w FROM documents WHERE source = 'issue_threads'), m AS (SELECT DISTINCT lower(regexp_replace(name, '\\.[^.]+$', '')) stem FROM files UNION SELECT 'hotspot') SELECT stem, count(DISTINCT doc_id) n_issues, min(doc_id) first_issue FROM m JOIN w ON w = stem GROUP BY 1")
-def issues(spark, sf):
-    """Files that issues mention, by an equality on words rather than a search of every name in every text."""
-    w = load(spark, sf, "documents").where("source = 'issue_threads'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1))).alias("stem"))
-    m = files(spark, sf).select(F.lower(F.regexp_replace("name", r"\.[^.]+$", "")).alias("stem")).unionByName(spark.createDataFrame([("hotspot",)], "stem string")).dropDuplicates()
-    return w.join(m, "stem").groupBy("stem").agg(F.countDistinct("doc_id").alias("n_issues"), F.min("doc_id").alias("first_issue"))
-
-
 @R.add("jira_issues", "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) w FROM documents WHERE source = 'forum') SELECT w AS stem, count(*) n FROM w WHERE w IN ('cache', 'parser', 'router') GROUP BY 1")
 def jira_issues(spark, sf):
     w = load(spark, sf, "documents").where("source = 'forum'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("stem"))
     return w.where(F.col("stem").isin("cache", "parser", "router")).groupBy("stem").agg(F.count("*").alias("n"))
 
 
-@R.add("explain", "SELECT 'callers' kind, count(DISTINCT target) n FROM edges WHERE source = 'NATION_3' UNION ALL SELECT 'callees', count(DISTINCT source) FROM edges WHERE target = 'NATION_3'")
-def explain(spark, sf):
-    e = edges(spark, sf)
-    return e.where("source = 'NATION_3'").agg(F.countDistinct("target").alias("n")).select(F.lit("callers").alias("kind"), "n").unionByName(e.where("target = 'NATION_3'").agg(F.countDistinct("source").alias("n")).select(F.lit("callees").alias("kind"), "n"))
-
-
 @R.add("refactor", "SELECT file_id, path, 'split ' || name || ' (' || complexity || ')' step FROM files WHERE is_code AND complexity > 20")
 def refactor(spark, sf):
     return files(spark, sf).where("is_code and complexity > 20").select("file_id", "path", F.format_string("split %s (%d)", "name", "complexity").alias("step"))

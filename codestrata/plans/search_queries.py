@@ -88,15 +88,6 @@ def kg_hubs(spark, sf):
 _TOP = "(SELECT node FROM dg ORDER BY degree DESC, node LIMIT 1)"
 
 
-@R.add("kg_explain", f"WITH {_KD}, t AS {_TOP} SELECT 'out' direction, type, count(*) n FROM relations, t WHERE src = node GROUP BY 1, 2 UNION ALL SELECT 'in', type, count(*) FROM relations, t WHERE dst = node GROUP BY 1, 2")
-def kg_explain(spark, sf):
-    """Facts about the best-connected entity."""
-    r = relations(spark, sf)
-    t = F.broadcast(kg_hubs(spark, sf).limit(1).select("node"))
-    a = r.join(t, r.src == F.col("node")).groupBy(F.lit("out").alias("direction"), "type").agg(F.count("*").alias("n"))
-    return a.unionByName(r.join(t, r.dst == F.col("node")).groupBy(F.lit("in").alias("direction"), "type").agg(F.count("*").alias("n")))
-
-
 @R.add("kg_neighbours", f"WITH {_KD}, t AS {_TOP} SELECT DISTINCT other, direction FROM (SELECT dst other, 'out' direction FROM relations, t WHERE src = node UNION ALL SELECT src, 'in' FROM relations, t WHERE dst = node)")
 def kg_neighbours(spark, sf):
     r = relations(spark, sf)
@@ -104,14 +95,6 @@ def kg_neighbours(spark, sf):
     return r.join(t, r.src == F.col("node")).select(F.col("dst").alias("other"), F.lit("out").alias("direction")).unionByName(r.join(t, r.dst == F.col("node")).select(F.col("src").alias("other"), F.lit("in").alias("direction"))).dropDuplicates()
 
 
-@R.add("kg_ask", "WITH k(w) AS (VALUES ('cache'), ('graph'), ('token')), c AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w FROM chunks WHERE text IS NOT NULL) JOIN k USING (w)) SELECT id, count(*) n_keywords FROM c GROUP BY 1 ORDER BY n_keywords DESC, id LIMIT 8")
-def kg_ask(spark, sf):
-    """Chunks by the keywords of a question."""
-    k = ["cache", "graph", "token"]
-    t = chunks(spark, sf).where("text is not null").select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("w")).where(F.col("w").isin(*k))
-    return t.groupBy("id").agg(F.count("*").alias("n_keywords")).orderBy(F.desc("n_keywords"), "id").limit(8)
-
-
 @R.add("entity_lookup", "SELECT id, name, mentions FROM entities WHERE lower(name) LIKE '%cache%' ORDER BY mentions DESC NULLS LAST, id LIMIT 10")
 def entity_lookup(spark, sf):
     return entities(spark, sf).where(F.lower("name").contains("cache")).orderBy(F.col("mentions").desc_nulls_last(), "id").limit(10).select("id", "name", "mentions")
@@ -141,15 +124,6 @@ def kg_export(spark, sf):
     return r.select(F.format_string('"%s" -> "%s"', "src", "dst").alias("line"))
 
 
-@R.add("context", "SELECT f.file_id, f.layer, f.complexity, count(x.fn_id) n_functions FROM files f LEFT JOIN functions x ON x.repo_id = f.repo_id AND x.file = f.path GROUP BY 1, 2, 3")
-def context(spark, sf):
-    """A file with what belongs to it."""
-    from codestrata.plans.bindings import files
-
-    n = functions(spark, sf).groupBy("repo_id", F.col("file").alias("path")).agg(F.count("*").alias("n"))
-    return files(spark, sf).join(n, ["repo_id", "path"], "left").select("file_id", "layer", "complexity", F.coalesce("n", F.lit(0).cast("long")).alias("n_functions"))
-
-
 @R.add("embedding_refresh", "WITH o AS (SELECT lower(trim(id)) id, md5(coalesce(name, '') || '|' || coalesce(attrs, '')) h FROM kg_entities WHERE loaded_at <= TIMESTAMP '2024-10-01'), n AS (SELECT DISTINCT lower(trim(id)) id, md5(coalesce(name, '') || '|' || coalesce(attrs, '')) h FROM kg_entities WHERE loaded_at > TIMESTAMP '2024-10-01') SELECT n.id, n.h FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = n.id AND o.h = n.h)")
 def embedding_refresh(spark, sf):
     """Rows loaded since the last run whose (key, content hash) is not yet stored: an anti join."""

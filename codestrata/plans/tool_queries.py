@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from codestrata.operators import exports as X, graph as G, lines as L, metrics as M, tools as T
 from codestrata.operators.snapshots import snapshot_changes
 from codestrata.plans import code_queries as C, metric_queries as MQ
-from codestrata.plans.bindings import Registry, contents, edges, entities, files, functions, gfiles, links
+from codestrata.plans.bindings import Registry, chunks, contents, edges, entities, files, functions, gfiles, links, relations
 from codestrata.plans.data_queries import _P1
+from codestrata.plans.search_queries import kg_hubs
 from codestrata.session import load
 
 R = Registry()
@@ -164,3 +165,92 @@ def export_csv(spark, sf):
     b = g.select(F.lit("files").alias("sheet"), text("path", "layer", "lines", "complexity", "fan_in", "fan_out"))
     c = g.where(F.col("fan_in") > T.COUPLED).select(F.lit("issues").alias("sheet"), F.concat_ws(",", F.lit("High Coupling"), X.csv_cell("path"), F.col("fan_in").cast("string")).alias("line"))
     return a.unionByName(b).unionByName(c)
+
+
+_HUB = "(SELECT node FROM (SELECT src node FROM relations UNION ALL SELECT dst FROM relations WHERE dst <> src) GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 1)"
+
+
+@R.add("kg_explain", f"""WITH r AS (SELECT 'out' d, dst item, type, weight FROM relations WHERE src = {_HUB} UNION ALL SELECT 'in', src, type, weight FROM relations WHERE dst = {_HUB})
+ (SELECT 'fact' kind, item, concat_ws(':', d, type) detail FROM r ORDER BY weight DESC NULLS LAST, item, d, type NULLS FIRST LIMIT 20) UNION ALL (SELECT 'chunk', id, doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM entities WHERE lower(trim(id)) = {_HUB}) ORDER BY doc_id, idx, id LIMIT 3)""")
+def kg_explain(spark, sf):
+    """Facts and texts about the best-connected entity."""
+    top = [r.node for r in kg_hubs(spark, sf).limit(1).collect()] or [""]
+    return T.entity_facts(relations(spark, sf), entities(spark, sf), chunks(spark, sf), top[0])
+
+
+_QUESTION = "How does the cache of the graph hold a token?"
+
+
+@R.add("kg_ask", """WITH k(w) AS (VALUES ('how'), ('does'), ('the'), ('cache'), ('graph'), ('hold'), ('token')), c AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) w FROM chunks WHERE text IS NOT NULL) JOIN k USING (w)),
+ e AS (SELECT lower(trim(id)) id, max(mentions) m FROM entities WHERE EXISTS (SELECT 1 FROM k WHERE contains(lower(name), w)) GROUP BY 1 ORDER BY m DESC NULLS LAST, 1 LIMIT 5), b AS (SELECT DISTINCT id, other FROM (SELECT src id, dst other FROM relations UNION ALL SELECT dst, src FROM relations) JOIN e USING (id))
+ (SELECT 'chunk' kind, id item, CAST(count(*) AS VARCHAR) detail FROM c GROUP BY 2 ORDER BY count(*) DESC, 2 LIMIT 8) UNION ALL SELECT 'entity', id, CAST(m AS VARCHAR) FROM e UNION ALL SELECT 'fact', id, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other) k FROM b) WHERE k <= 6""")
+def kg_ask(spark, sf):
+    return T.answer_material(_QUESTION, chunks(spark, sf), entities(spark, sf), relations(spark, sf))
+
+
+@R.add("duties", f"""WITH {L.scan_sql(L.DUTIES)}, {C._IE}, p AS (SELECT file_id, bool_or(tag = 'initiate') i, bool_or(tag = 'approve') a FROM hits GROUP BY 1), o AS (SELECT file_id, CASE WHEN EXISTS (SELECT 1 FROM hits x JOIN hits y ON x.file_id = y.file_id AND x.tag = 'initiate' AND y.tag = 'approve' AND abs(x.line_no - y.line_no) <= 30 WHERE x.file_id = p.file_id) THEN 'critical' ELSE 'high' END severity FROM p WHERE i AND a)
+ SELECT * FROM o UNION ALL SELECT f.file_id, 'medium' FROM (SELECT ie.repo_id, ie.source FROM ie JOIN files t ON t.repo_id = ie.repo_id AND t.path = ie.target JOIN p ON p.file_id = t.file_id GROUP BY 1, 2 HAVING bool_or(i) AND bool_or(a)) m JOIN files f ON f.repo_id = m.repo_id AND f.path = m.source WHERE f.file_id NOT IN (SELECT file_id FROM o)""")
+def duties(spark, sf):
+    h = L.scan(contents(spark, sf), ["file_id", "repo_id", "path"], L.DUTIES).select("file_id", "line_no", "tag")
+    return T.duties(h, C._file_imports(spark, sf), files(spark, sf))
+
+
+@R.add("context", f"""WITH {_CF}, {_PC}, {_SEC}, e AS (SELECT DISTINCT repo_id, source, target FROM pc WHERE source <> target), a AS (SELECT repo_id, target path, count(*) n FROM e GROUP BY 1, 2), b AS (SELECT repo_id, source path, count(*) n FROM e GROUP BY 1, 2), s AS (SELECT file_id, count(*) n FROM sh GROUP BY 1)
+ SELECT cf.file_id, layer, complexity, nf n_functions, coalesce(a.n, 0) n_dependents, coalesce(b.n, 0) n_dependencies, coalesce(s.n, 0) n_findings FROM cf LEFT JOIN a ON a.repo_id = cf.repo_id AND a.path = cf.path LEFT JOIN b ON b.repo_id = cf.repo_id AND b.path = cf.path LEFT JOIN s ON s.file_id = cf.file_id""")
+def context(spark, sf):
+    return T.file_context(_code_files(spark, sf), C.pg_calls(spark, sf), _findings(spark, sf))
+
+
+@R.add("resolve_receiver", f"WITH {C._CN}, k AS (SELECT repo_id, fn, CAST(sum(\"count\") AS BIGINT) n_calls FROM cn GROUP BY 1, 2) SELECT f.repo_id, f.name, count(DISTINCT coalesce(class_name, file)) n_owners, CASE WHEN count(DISTINCT coalesce(class_name, file)) = 1 THEN 'resolved' ELSE 'ambiguous' END state, coalesce(max(n_calls), 0) n_calls FROM functions f LEFT JOIN k ON k.repo_id = f.repo_id AND k.fn = f.name WHERE is_class_method GROUP BY 1, 2")
+def resolve_receiver(spark, sf):
+    """Methods by name: of one class, or ambiguous, with their calls."""
+    m = functions(spark, sf).where("is_class_method").groupBy("repo_id", "name").agg(F.countDistinct(F.coalesce("class_name", "file")).alias("n_owners"))
+    k = C._called(spark, sf).groupBy("repo_id", F.col("fn").alias("name")).agg(F.sum("count").alias("n_calls"))
+    return m.join(k, ["repo_id", "name"], "left").select("repo_id", "name", "n_owners", F.when(F.col("n_owners") == 1, "resolved").otherwise("ambiguous").alias("state"), F.coalesce("n_calls", F.lit(0).cast("long")).alias("n_calls"))
+
+
+@R.add("types", "SELECT f.repo_id, f.file, count(*) n_functions, count(return_type) n_typed, round(100.0 * count(return_type) / count(*), 2) pct, coalesce(max(g.coupling_in), 0) fan_in FROM functions f LEFT JOIN files g ON g.repo_id = f.repo_id AND g.path = f.file WHERE regexp_matches(f.file, '\\.(ts|tsx|py)$') GROUP BY 1, 2")
+def types(spark, sf):
+    """How much of each file's functions is typed, with the file's users."""
+    t = functions(spark, sf).where(F.col("file").rlike(r"\.(ts|tsx|py)$")).groupBy("repo_id", F.col("file").alias("path")).agg(F.count("*").alias("n_functions"), F.count("return_type").alias("n_typed"), F.round(100.0 * F.count("return_type") / F.count("*"), 2).alias("pct"))
+    g = files(spark, sf).groupBy("repo_id", "path").agg(F.max("coupling_in").alias("fan_in"))
+    return t.join(g, ["repo_id", "path"], "left").select("repo_id", F.col("path").alias("file"), "n_functions", "n_typed", "pct", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
+
+
+@R.add("explain", """SELECT DISTINCT 'callers' kind, source item FROM links WHERE target = (SELECT target FROM links GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1) UNION ALL SELECT DISTINCT 'callees', target FROM links WHERE source = (SELECT target FROM links GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1)""")
+def explain(spark, sf):
+    """All callers and callees of the node that most lead to."""
+    e = links(spark, sf)
+    top = [r.target for r in e.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(1).collect()] or [""]
+    a = e.where(F.col("target") == top[0]).select(F.lit("callers").alias("kind"), F.col("source").alias("item")).dropDuplicates()
+    return a.unionByName(e.where(F.col("source") == top[0]).select(F.lit("callees").alias("kind"), F.col("target").alias("item")).dropDuplicates())
+
+
+@R.add("issues", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) w FROM documents WHERE source = 'issue_threads' AND text IS NOT NULL), m AS (SELECT DISTINCT lower(regexp_replace(name, '\\.[^.]+$', '')) stem FROM files), j AS (SELECT stem, doc_id, row_number() OVER (PARTITION BY stem ORDER BY doc_id) k, count(*) OVER (PARTITION BY stem) n FROM m JOIN w ON w = stem) SELECT stem, max(n) n_issues, list(doc_id ORDER BY doc_id) first_issues FROM j WHERE k <= 5 GROUP BY 1")
+def issues(spark, sf):
+    """Files that issues mention, by an equality on words rather than a search of every name in every text, with the first five issues."""
+    from pyspark.sql import Window as W
+
+    w = load(spark, sf, "documents").where("source = 'issue_threads' and text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1))).alias("stem")).dropDuplicates()
+    j = w.join(files(spark, sf).select(F.lower(F.regexp_replace("name", r"\.[^.]+$", "")).alias("stem")).dropDuplicates(), "stem")
+    n = j.groupBy("stem").agg(F.count("*").alias("n_issues"))
+    five = j.withColumn("k", F.row_number().over(W.partitionBy("stem").orderBy("doc_id"))).where("k <= 5").groupBy("stem").agg(F.array_sort(F.collect_list("doc_id")).alias("first_issues"))
+    return n.join(five, "stem")
+
+
+@R.add("mro", f"""WITH {C._DF}, k AS (SELECT repo_id, "name", min(regexp_extract(base, '([^.]*)$', 1)) base FROM df WHERE kind = 'class' GROUP BY 1, 2), r(repo_id, "name", up, o) AS (SELECT repo_id, "name", base, ["name"] FROM k UNION ALL SELECT r.repo_id, r."name", k.base, list_append(r.o, r.up) FROM r LEFT JOIN k ON k.repo_id = r.repo_id AND k."name" = r.up WHERE r.up IS NOT NULL AND r.up <> '' AND NOT list_contains(r.o, r.up))
+ SELECT repo_id, "name", arg_max(o, len(o)) linearization FROM r GROUP BY 1, 2""")
+def mro(spark, sf):
+    """Linearized bases of the classes found in the texts."""
+    from codestrata.operators.classes import linearize
+
+    c = C._classes(spark, sf).where("repo_id is not null").groupBy("repo_id", "name").agg(F.min(F.regexp_extract("base", r"([^.]*)$", 1)).alias("base"))
+    c = c.select("repo_id", "name", F.when(F.coalesce("base", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array("base")).alias("bases"), F.array().cast("array<string>").alias("methods"))
+    return linearize(c).select("repo_id", "name", "linearization")
+
+
+@R.add("sarif", f"""WITH {_SEC}, j AS (SELECT DISTINCT '{{"ruleId":"' || lower(regexp_replace(split_part(tag, ':', 2), '[^A-Za-z0-9]+', '-', 'g')) || '","level":"' || CASE split_part(tag, ':', 1) WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END || '","message":{{"text":' || to_json(split_part(tag, ':', 2)) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(path) || '}},"region":{{"startLine":' || line_no || '}}}}}}]}}' j FROM sh WHERE path IS NOT NULL)
+ SELECT 0 ord, '{X.SARIF_HEAD}' line UNION ALL SELECT 1, j || CASE WHEN j = (SELECT max(j) FROM j) THEN '' ELSE ',' END FROM j UNION ALL SELECT 2, ']}}]}}'""")
+def sarif(spark, sf):
+    """One SARIF document of the findings, line by line."""
+    return X.sarif_document(L.scan(contents(spark, sf), ["file_id", "path"], L.SECURITY).where("path is not null"))
