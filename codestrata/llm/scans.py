@@ -486,8 +486,9 @@ def looked_up(text: str, reads: tuple) -> tuple[set[str], set[str]]:
     """The words of a text that may be misread, broken ones put together, and the words at its line breaks, in small letters."""
     body = "\n".join(_lines(text))
     ends = {x.lower() for m in _BREAK.finditer(body) for x in (m[1], m[3], m[1] + m[3])}
-    whole = _BREAK.sub(lambda m: m[1] + m[3], body)
-    words = {w for t in (body, whole) for w in _WORD.findall(t)}
+    words = set(_WORD.findall(body))
+    if ends:
+        words.update(_WORD.findall(_BREAK.sub(lambda m: m[1] + m[3], body)))
     return {w for w in words if _editable(w, reads)}, ends
 
 
