@@ -143,11 +143,11 @@ def dependency_phases(spark, sf):
     return graph.topological_phases(links(spark, sf))
 
 
-@R.add("bridge_nodes", """WITH v AS (SELECT path node FROM nodes), s AS (SELECT node FROM v ORDER BY md5(node), node LIMIT 100),
+@R.add("bridge_nodes", """WITH v AS (SELECT path node FROM nodes), m AS (SELECT count(*) n, count(*) > 500 big, CASE WHEN count(*) > 500 THEN count(*) / CAST(100 AS DOUBLE) ELSE 1 END k FROM v), s AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY md5(node), node) r FROM v), m WHERE NOT big OR r <= 100),
   f(s, node, d, n) USING KEY (s, node) AS (SELECT node, node, 0, CAST(1 AS DOUBLE) FROM s UNION SELECT f.s, l.target, f.d + 1, sum(f.n) FROM f JOIN links l ON l.source = f.node LEFT JOIN recurring.f x ON x.s = f.s AND x.node = l.target WHERE x.node IS NULL GROUP BY 1, 2, 3),
   b(s, node, d, n, delta) AS (SELECT s, node, d, n, CAST(0 AS DOUBLE) FROM f WHERE d = (SELECT max(d) FROM f)
-    UNION ALL SELECT f.s, f.node, f.d, f.n, coalesce(w.delta, 0) FROM f JOIN (SELECT min(d) - 1 d FROM b) m ON f.d = m.d LEFT JOIN (SELECT y.s, l.source node, sum(g.n / y.n * (1 + y.delta)) delta FROM b y JOIN links l ON l.target = y.node JOIN f g ON g.s = y.s AND g.node = l.source AND g.d = y.d - 1 GROUP BY 1, 2) w ON w.s = f.s AND w.node = f.node)
-  SELECT node path, round(sum(delta) * ((SELECT count(*) FROM v) / CAST(100 AS DOUBLE)) / (((SELECT count(*) FROM v) - 1) * ((SELECT count(*) FROM v) - 2)), 6) betweenness, true sampled FROM b WHERE d > 0 GROUP BY 1 HAVING round(sum(delta) * ((SELECT count(*) FROM v) / CAST(100 AS DOUBLE)) / (((SELECT count(*) FROM v) - 1) * ((SELECT count(*) FROM v) - 2)), 6) > 0""")
+    UNION ALL SELECT f.s, f.node, f.d, f.n, coalesce(w.delta, 0) FROM f JOIN (SELECT min(d) - 1 d FROM b) mm ON f.d = mm.d LEFT JOIN (SELECT y.s, l.source node, sum(g.n / y.n * (1 + y.delta)) delta FROM b y JOIN links l ON l.target = y.node JOIN f g ON g.s = y.s AND g.node = l.source AND g.d = y.d - 1 GROUP BY 1, 2) w ON w.s = f.s AND w.node = f.node)
+  SELECT * FROM (SELECT node path, round(sum(delta) * any_value(k) / ((any_value(m.n) - 1) * (any_value(m.n) - 2)), 6) betweenness, any_value(big) sampled FROM b, m WHERE d > 0 GROUP BY 1) WHERE betweenness > 0""")
 def bridge_nodes(spark, sf):
     """Betweenness over the whole graph; above 500 nodes from 100 sources, by the digest of their names."""
     return graph.betweenness(links(spark, sf))
