@@ -252,17 +252,19 @@ def vuln_watch(spark, sf):
     return new_since(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["user_id", "event_type"])
 
 
-@R.add("watch", f"""WITH {_P1}, l AS (SELECT repo_id, max(snapshot_id) snapshot_id FROM d GROUP BY 1)
+@R.add("watch", f"""WITH {_P1}, l AS (SELECT repo_id, last(id ORDER BY created_at NULLS FIRST, id) snapshot_id FROM s0 GROUP BY 1)
  SELECT d.repo_id, d.snapshot_id, count(*) FILTER (field = 'fileCoupling' AND change = 'added') n_added, count(*) FILTER (field = 'fileCoupling' AND change = 'removed') n_removed, count(*) FILTER (field = 'fileCoupling' AND change = 'changed') n_changed, count(*) FILTER (field = 'healthScore') > 0 health_changed FROM d JOIN l ON l.repo_id IS NOT DISTINCT FROM d.repo_id AND l.snapshot_id = d.snapshot_id WHERE change IS NOT NULL GROUP BY ALL""")
 def watch(spark, sf):
-    """What the newest delivery of each repository changed against the one before."""
+    """What the newest readable delivery of each repository changed against the one before; no row if it changed nothing."""
+    from codestrata.operators.diffs import readable_snapshots
     from codestrata.operators.snapshots import snapshot_changes
 
     d = snapshot_changes(load(spark, sf, "snapshots"))
     is_ = lambda f, c=None: (F.col("field") == f) & (F.lit(True) if c is None else F.col("change") == c)
     per = d.groupBy("repo_id", "snapshot_id").agg(*[F.count_if(is_("fileCoupling", c)).alias(f"n_{c}") for c in ("added", "removed", "changed")], (F.count_if(is_("healthScore")) > 0).alias("health_changed"))
-    top = per.groupBy("repo_id").agg(F.max(F.struct("snapshot_id", "n_added", "n_removed", "n_changed", "health_changed")).alias("x"))
-    return top.select("repo_id", "x.*")
+    last = readable_snapshots(load(spark, sf, "snapshots")).groupBy("repo_id").agg(F.max(F.struct("created_at", "id"))["id"].alias("last_id"))
+    newest = last.select(F.col("repo_id").alias("_r"), "last_id")
+    return per.join(newest, F.col("repo_id").eqNullSafe(F.col("_r")) & (F.col("snapshot_id") == F.col("last_id"))).select(*per.columns)
 
 
 @R.add("incremental_merge", "WITH o AS (SELECT name, max(sig) v FROM symbols_old GROUP BY 1), n AS (SELECT lower(trim(id)) name, max(mentions) v FROM kg_entities WHERE loaded_at > TIMESTAMP '2024-10-01' GROUP BY 1) SELECT coalesce(n.name, o.name) name, CASE WHEN n.name IS NULL THEN o.v ELSE n.v END v FROM o FULL JOIN n ON o.name = n.name")
